@@ -33,7 +33,10 @@ def risk_rank(score: Column) -> Column:
 
 
 def level_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), rank)
+    name = F.when(rank == 1, LEVELS[0])
+    for n, level in enumerate(LEVELS[1:], start=2):
+        name = name.when(rank == n, level)
+    return name
 
 
 def recommendations(level: Column, structure_flags: Column, phishing_level: Column) -> Column:
@@ -74,41 +77,37 @@ def spread_key() -> Column:
     return F.coalesce(F.col("url"), F.concat(F.lit("\x00"), F.col("uid").cast("string")))
 
 
-def with_reports(
-    occurrences: DataFrame,
-    hops: DataFrame | None = None,
-    intel: DataFrame | None = None,
-    params: Params = DEFAULTS,
-) -> DataFrame:
+def with_reports(occurrences: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """Attach the per-URL reports to every occurrence of the URL.
 
-    Without hops and intel no shuffle is needed at all.  With them the lookups
-    run on distinct URLs, and the occurrences are the left side of one join
-    with a table that is unique on the key.
+    Without reports no shuffle is needed at all.  With them, the occurrences
+    are the left side of one join with a table that is unique on the key, so
+    the adaptive skew join can split a URL that very many messages share.
     """
-    if hops is None and intel is None:
+    if reports is None:
         return occurrences.withColumns({
             "redirect_score": F.lit(None).cast("int"),
             "intel_risk": F.lit(None).cast("double"),
             "intel_status": F.lit("skipped"),
         })
-    reports = url_reports(us.distinct_urls(occurrences), hops, intel, params).select(
-        "url", "redirect_score", "intel_risk", "intel_status")
-    keyed = reports.withColumnRenamed("url", "_key")
+    keyed = reports.select(
+        F.col("url").alias("_key"), "redirect_score", "intel_risk", "intel_status")
     return occurrences.withColumn("_key", spread_key()).join(keyed, "_key", "left").drop("_key")
 
 
 def score_urls(
     occurrences: DataFrame,
-    hops: DataFrame | None = None,
-    intel: DataFrame | None = None,
+    reports: DataFrame | None = None,
     params: Params = DEFAULTS,
     content_points_col: str | None = None,
     content_indicators_col: str | None = None,
     flags: bool = True,
 ) -> DataFrame:
-    """Full verdict of each URL row: the four parts, overall score, level, advice."""
-    parts = us.with_url_parts(with_reports(occurrences, hops, intel, params))
+    """Full verdict of each URL row: the four parts, overall score, level, advice.
+
+    ``reports`` comes from :func:`url_reports`.
+    """
+    parts = us.with_url_parts(with_reports(occurrences, reports))
     scored = us.score_phishing(
         us.score_structure(parts, params, flags), params,
         content_points_col, content_indicators_col, flags)
@@ -125,8 +124,7 @@ def score_urls(
 
 def summarise_messages(
     messages: DataFrame,
-    hops: DataFrame | None = None,
-    intel: DataFrame | None = None,
+    reports: DataFrame | None = None,
     params: Params = DEFAULTS,
     text: str = "content",
 ) -> DataFrame:
@@ -139,7 +137,7 @@ def summarise_messages(
     base = messages.select("uid", F.col(text).alias("_text")).select(
         "uid", us.content_points(F.col("_text"), params).alias("_points"), "_text")
     occurrences = us.explode_urls(base, "_text", keep=("_points",))
-    scored = score_urls(occurrences, hops, intel, params, "_points", flags=False)
+    scored = score_urls(occurrences, reports, params, "_points", flags=False)
     severe = F.col("url").isNotNull() & (F.col("risk_rank") >= 4)
     grouped = scored.groupBy("uid").agg(
         F.count("url").cast("int").alias("urls_found"),

@@ -206,8 +206,9 @@ def intel_risk(spark, folder):
 @query
 def url_risk(spark, folder):
     urls = us.distinct_urls(v.page_urls(spark, folder)).withColumn("uid", F.col("url"))
-    scored = risk.score_urls(
+    found = risk.url_reports(
         urls, v.redirect_hops(spark, folder), v.intel_reports(spark, folder), CHECK)
+    scored = risk.score_urls(urls, found, CHECK)
     return scored.select(
         "url", "structure_score", "phishing_score", "redirect_score", "intel_risk", "intel_status",
         "overall_risk_score", "overall_risk_level")
@@ -216,7 +217,7 @@ def url_risk(spark, folder):
 @query
 def recommendations(spark, folder):
     urls = us.distinct_urls(v.probe_urls(spark, folder)).withColumn("uid", F.col("url"))
-    scored = risk.score_urls(urls, None, None, CHECK)
+    scored = risk.score_urls(urls, None, CHECK)
     return scored.select(
         "url", "overall_risk_level", joined(F.col("recommendations")).alias("recommendations"))
 
@@ -234,9 +235,10 @@ def message_url_summary(spark, folder):
 
 @query
 def message_url_summary_joined(spark, folder):
-    return _summary_text(risk.summarise_messages(
-        v.messages(spark, folder), v.redirect_hops(spark, folder),
-        v.intel_reports(spark, folder), CHECK))
+    rows = v.messages(spark, folder)
+    tables = process.Tables(v.redirect_hops(spark, folder), v.intel_reports(spark, folder))
+    found = process.lookup_reports(rows, tables, CHECK)
+    return _summary_text(risk.summarise_messages(rows, found, CHECK))
 
 
 def _summary_text(rows: DataFrame) -> DataFrame:
@@ -263,14 +265,14 @@ def unsubscribe_urls(spark, folder):
 @query
 def unsubscribe_plan(spark, folder):
     offered = _offered(spark, folder)
-    judged = unsubscribe.judge_candidates(offered, v.outcomes(spark, folder), None, None, CHECK)
+    judged = unsubscribe.judge_candidates(offered, v.outcomes(spark, folder), None, CHECK)
     return unsubscribe.plan_results(judged, offered)
 
 
 @query
 def unsubscribe_log(spark, folder):
     judged = unsubscribe.judge_candidates(
-        _offered(spark, folder), v.outcomes(spark, folder), None, None, CHECK)
+        _offered(spark, folder), v.outcomes(spark, folder), None, CHECK)
     return judged.where(F.col("url").isNotNull()).select(
         "uid", "pos", "url", "success", "reason", "error_message")
 

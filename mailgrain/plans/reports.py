@@ -17,7 +17,9 @@ def analyse_urls(
 ) -> DataFrame:
     """Level, score and the first three recommendations of each distinct URL."""
     distinct = urls.select("url").distinct().withColumn("uid", F.col("url"))
-    scored = risk.score_urls(distinct, hops, intel, params)
+    tables = hops is not None or intel is not None
+    found = risk.url_reports(distinct, hops, intel, params) if tables else None
+    scored = risk.score_urls(distinct, found, params)
     return scored.select(
         "url", "overall_risk_level", "overall_risk_score",
         F.slice("recommendations", 1, 3).alias("recommendations"))

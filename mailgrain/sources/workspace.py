@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -22,3 +22,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="mailgrain-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Materialise rows in the checkpoint folder, so later work does not repeat theirs.
+
+    The folder is the session's own; a local session without one gets one.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
