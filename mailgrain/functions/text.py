@@ -15,9 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_CHAR = r"[\p{L}\p{N}_]"
-# Unicode white space including the four ASCII separators 0x1c-0x1f.
-SPACE_SET = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# All Unicode white space, and the four ASCII separators 0x1c-0x1f.
+SPACE_SET = r"\p{IsWhite_Space}\x1c-\x1f"
 SPACE = f"[{SPACE_SET}]"
 TAG = r"<[^>]+>"
 
@@ -36,26 +35,28 @@ def _literal(pattern: str) -> str | None:
     return None
 
 
-def _prefix(pattern: str) -> str | None:
-    """Literal text every match must start with, or None."""
-    if "|" in re.sub(r"\([^)]*\)", "", pattern):
+def _needle(pattern: str) -> str | None:
+    """The longest literal text that every match must contain, or None."""
+    optional = r"\([^)]*\)|\[[^\]]*\]|\\[A-Za-z]|(?:\\\W|[^\\])[?*{]"
+    solid = re.sub(optional, "\0", pattern)
+    if "|" in solid:
         return None
-    head = re.match(r"(?:[\w ]|\\\W)+(?![?*{])", pattern)
-    return re.sub(r"\\(\W)", r"\1", head.group()) if head else None
+    runs = [re.sub(r"\\(\W)", r"\1", run) for run in re.split("[\0+*?]+", solid)]
+    return max(runs, key=len) or None
 
 
 def occurs(text: Column, pattern: str) -> Column:
     """Whether ``pattern`` matches anywhere.
 
     Literal patterns become ``contains``; the others run the regex only on rows
-    that contain the literal text the pattern starts with.
+    that contain the longest literal text the pattern requires.
     """
     literal = _literal(pattern)
     if literal is not None:
         return text.contains(literal)
     matched = text.rlike(portable(pattern))
-    prefix = _prefix(pattern)
-    return matched if prefix is None else text.contains(prefix) & matched
+    needle = _needle(pattern)
+    return matched if needle is None else text.contains(needle) & matched
 
 
 def any_occurs(text: Column, patterns: Iterable[str]) -> Column:
@@ -77,10 +78,15 @@ def occurrence_points(text: Column, patterns: Iterable[str]) -> Column:
 
 
 def whole_word(keyword: str) -> str:
-    """Regex for ``keyword`` between word boundaries."""
-    before = "(?<!%s)" if re.match(r"\w", keyword) else "(?<=%s)"
-    after = "(?!%s)" if re.search(r"\w\Z", keyword) else "(?=%s)"
-    return before % WORD_CHAR + re.escape(keyword) + after % WORD_CHAR
+    """Regex for ``keyword`` between word boundaries.
+
+    The keyword comes first and the look-behind repeats it, so the engine can
+    search for plain text before it tests a boundary.
+    """
+    literal = re.escape(keyword)
+    before = "(?<!" if re.match(r"\w", keyword) else "(?<="
+    after = "(?!" if re.search(r"\w\Z", keyword) else "(?="
+    return f"{literal}{before}{WORD_CHAR}{literal}){after}{WORD_CHAR})"
 
 
 def keyword_count(lowered: Column, keywords: Iterable[str]) -> Column:

@@ -17,6 +17,7 @@ URL_PATTERNS = (
     rf"[wW][wW][wW]\.{URL_CHARS}+",
     rf"[{ALNUM}][{ALNUM}-]{{1,61}}[{ALNUM}]\.[a-zA-Z{FOLDED}]{{2,}}",
 )
+DOMAIN_END = rf"\.[a-zA-Z{FOLDED}]{{2}}"
 
 # inet_aton number forms, already limited to 32 bits by digit count.
 _HEX = r"0x0*[0-9a-f]{1,8}"
@@ -31,15 +32,19 @@ def extract_urls(text: Column) -> Column:
 
     Three searches over the whole text: full URLs, ``www.`` hosts and bare
     domains.  A hit that does not start with lower-case ``http(s)://`` gets an
-    ``https://`` prefix.
+    ``https://`` prefix.  Cheap tests skip the searches that cannot succeed.
     """
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in URL_PATTERNS])
+    none = F.array().cast("array<string>")
+    possible = (text.contains("://"), text.rlike(r"[wW]{3}\."), text.rlike(DOMAIN_END))
+    found = F.concat(*[
+        F.when(test, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        for test, pattern in zip(possible, URL_PATTERNS)])
     absolute = F.transform(
         found,
         lambda u: F.when(u.startswith("http://") | u.startswith("https://"), u)
         .otherwise(F.concat(F.lit("https://"), u)),
     )
-    return F.coalesce(F.array_distinct(absolute), F.array().cast("array<string>"))
+    return F.array_distinct(absolute)
 
 
 @dataclass(frozen=True)

@@ -15,27 +15,27 @@ URL = r"https?://[!$-_a-z]+"
 NOT_SPACE = f"[^{SPACE_SET}]"
 # A match always starts at the beginning of a blank-free run, so looking only
 # there finds the same addresses in linear time.
-ADDRESS = f"(?<!{NOT_SPACE}){NOT_SPACE}+@{NOT_SPACE}+"
+ADDRESS = rf"(?:\A|(?<={SPACE})){NOT_SPACE}+@{NOT_SPACE}+"
 JOINED = f"(?<!{WORD_CHAR})(?:" + "|".join(
     f"{pair.split()[0]}(?={pair.split()[1]}(?!{WORD_CHAR}))" for pair in JOINED_FORMS.values()
 ) + ")"
-QUOTES = "[«“‘„»”’]"
+QUOTES = "«“‘„»”’"
+TOKEN = f"[{QUOTES}]|[^{SPACE_SET}{QUOTES}]+"
 
 
 def clean(text: Column) -> Column:
     """Lower case without tags, URLs, addresses, ASCII punctuation and digits."""
     out = F.regexp_replace(F.lower(text), TAG, "")
     out = F.regexp_replace(out, URL, "")
-    out = F.regexp_replace(out, ADDRESS, "")
+    out = F.when(text.contains("@"), F.regexp_replace(out, ADDRESS, "")).otherwise(out)
     out = F.translate(out, string.punctuation, "")
     return F.regexp_replace(out, r"\p{Nd}+", "")
 
 
 def tokens(cleaned: Column, params: Params = DEFAULTS) -> Column:
-    """Blank-separated tokens without stop words, in text order."""
-    spaced = F.regexp_replace(F.regexp_replace(cleaned, JOINED, "$0 "), QUOTES, " $0 ")
-    words = F.split(spaced, SPACE + "+")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*params.stop_words))
+    """Blank-separated tokens without stop words, in text order; quotes stand alone."""
+    words = F.regexp_extract_all(F.regexp_replace(cleaned, JOINED, "$0 "), F.lit(TOKEN), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*params.stop_words))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

@@ -144,7 +144,7 @@ def summarise_messages(
         F.max(F.when(F.col("url").isNotNull(), F.col("overall_risk_score"))).alias("max_risk_score"),
         F.avg(F.when(F.col("url").isNotNull(), F.col("overall_risk_score"))).alias("average_risk_score"),
         F.max(F.when(F.col("url").isNotNull(), F.col("risk_rank"))).alias("_rank"),
-        F.array_sort(F.collect_list(F.when(severe, F.col("url")))).alias("high_risk_urls"),
+        F.sort_array(F.collect_list(F.when(severe, F.col("url")))).alias("high_risk_urls"),
     )
     found, bad = F.col("urls_found"), F.size("high_risk_urls")
     bad_text = F.when(bad > 0, bad.cast("string")).otherwise(F.lit("No"))

@@ -38,7 +38,7 @@ def joined(items: Column) -> Column:
 
 
 def sorted_text(items: Column) -> Column:
-    return F.array_join(F.array_sort(items), "|")
+    return F.array_join(F.sort_array(items), "|")
 
 
 # -- text ------------------------------------------------------------------

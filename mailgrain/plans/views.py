@@ -16,6 +16,7 @@ from mailgrain import params as P
 from mailgrain.functions import text as tx
 from mailgrain.functions import urls as ux
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = datetime(2024, 1, 31)
 
 CHECK = replace(
@@ -38,7 +39,15 @@ CHECK = replace(
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one that the scan cannot split over all cores is spread first.
+
+    A large table has more splits than cores, so this never shuffles one.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
