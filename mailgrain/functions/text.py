@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,44 +35,53 @@ def _literal(pattern: str) -> str | None:
 
 def _needle(pattern: str) -> str | None:
     """The longest literal text that every match must contain, or None."""
-    optional = r"\([^)]*\)|\[[^\]]*\]|\\[A-Za-z]|(?:\\\W|[^\\])[?*{]"
-    solid = re.sub(optional, "\0", pattern)
+    count = r"(?:[?*]|\{[^}]*\})"
+    variable = rf"(?:\([^)]*\)|\[[^\]]*\]|\\[A-Za-z]){count}?|(?:\\\W|[^\\]){count}"
+    solid = re.sub(variable, "\0", pattern)
     if "|" in solid:
         return None
     runs = [re.sub(r"\\(\W)", r"\1", run) for run in re.split("[\0+*?]+", solid)]
     return max(runs, key=len) or None
 
 
-def occurs(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` matches anywhere.
+def quoted(text: str) -> str:
+    """A text as SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurs(text: str, pattern: str) -> str:
+    """SQL predicate: ``pattern`` matches anywhere in the column ``text``.
 
     Literal patterns become ``contains``; the others run the regex only on rows
     that contain the longest literal text the pattern requires.
     """
     literal = _literal(pattern)
     if literal is not None:
-        return text.contains(literal)
-    matched = text.rlike(portable(pattern))
+        return f"contains({text}, {quoted(literal)})"
+    matched = f"{text} RLIKE {quoted(portable(pattern))}"
     needle = _needle(pattern)
-    return matched if needle is None else text.contains(needle) & matched
+    return matched if needle is None else f"(contains({text}, {quoted(needle)}) AND {matched})"
 
 
-def any_occurs(text: Column, patterns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (occurs(text, p) for p in patterns), F.lit(False))
+def any_occurs(text: str, patterns: Iterable[str]) -> Column:
+    return F.expr(" OR ".join(occurs(text, p) for p in patterns) or "false")
 
 
-def points(condition: Column, value) -> Column:
-    """``value`` where the condition holds, else zero of the same type."""
-    return F.when(condition, F.lit(value)).otherwise(F.lit(type(value)(0)))
+def weigh(signs: Iterable[tuple[str, int]]) -> Column:
+    """Sum of the points of all SQL predicates that hold."""
+    return F.expr(" + ".join(
+        f"CASE WHEN {sign} THEN {worth} ELSE 0 END" for sign, worth in signs) or "0")
 
 
-def total(columns: Iterable[Column], start=0) -> Column:
-    return reduce(add, columns, F.lit(start))
+def names_of(signs: Iterable[tuple[str, str]]) -> Column:
+    """Array of the names of all SQL predicates that hold, in the given order."""
+    cases = ", ".join(f"CASE WHEN {sign} THEN {quoted(name)} END" for sign, name in signs)
+    return F.array_compact(F.expr(f"array({cases})").cast("array<string>"))
 
 
-def occurrence_points(text: Column, patterns: Iterable[str]) -> Column:
+def occurrence_points(text: str, patterns: Iterable[str]) -> Column:
     """One point for each pattern that matches at least once."""
-    return total(points(occurs(text, p), 1) for p in patterns)
+    return weigh((occurs(text, p), 1) for p in patterns)
 
 
 def whole_word(keyword: str) -> str:
@@ -89,15 +96,15 @@ def whole_word(keyword: str) -> str:
     return f"{literal}{before}{WORD_CHAR}{literal}){after}{WORD_CHAR})"
 
 
-def keyword_count(lowered: Column, keywords: Iterable[str]) -> Column:
-    """Whole-word occurrences of all keywords, summed; text must be lower case."""
+def keyword_count(lowered: str, keywords: Iterable[str]) -> Column:
+    """Whole-word occurrences of all keywords, summed; the column holds lower case."""
 
-    def hits(keyword: str) -> Column:
+    def hits(keyword: str) -> str:
         needle = keyword.lower()
-        counted = F.regexp_count(lowered, F.lit(whole_word(needle)))
-        return F.when(lowered.contains(needle), counted).otherwise(F.lit(0))
+        return (f"CASE WHEN contains({lowered}, {quoted(needle)}) "
+                f"THEN regexp_count({lowered}, {quoted(whole_word(needle))}) ELSE 0 END")
 
-    return total(hits(k) for k in keywords)
+    return F.expr(" + ".join(hits(k) for k in keywords) or "0")
 
 
 def count_char(text: Column, char: str) -> Column:
@@ -121,8 +128,3 @@ def strip_tags(html: Column) -> Column:
 def preview(text: Column, width: int = 100) -> Column:
     cut = F.concat(F.substring(text, 1, width), F.lit("..."))
     return F.when(F.length(text) > width, cut).otherwise(text)
-
-
-def compact(*entries: Column) -> Column:
-    """Array of the entries that are not null, in the given order."""
-    return F.array_compact(F.array(*entries))

@@ -97,32 +97,15 @@ def is_ipv4_literal(host: Column) -> Column:
     One to four numbers in decimal, octal or hex; each but the last is one
     byte, the last fills the remaining bytes.
     """
-    parts = F.split(host, r"\.")
-    count = F.size(parts)
-
-    def value(n: int) -> Column:
-        digits = F.get(parts, F.lit(n))
-        return (
-            F.when(digits.startswith("0x"), F.conv(F.substr(digits, F.lit(3)), 16, 10))
-            .when(digits.startswith("0"), F.conv(digits, 8, 10))
-            .otherwise(digits)
-            .cast("bigint")
-        )
-
-    last_limit = F.element_at(
-        F.array(*[F.lit(2 ** (8 * b) - 1) for b in (4, 3, 2, 1)]), count)
-    last_ok = value_at_end(value, count) <= last_limit
-    leading_ok = F.lit(True)
-    for n in range(3):
-        leading_ok = leading_ok & ((count <= n + 1) | (value(n) <= 255))
-    return F.when(host.rlike(IPV4_FORM), leading_ok & last_ok).otherwise(F.lit(False))
-
-
-def value_at_end(value, count: Column) -> Column:
-    picked = F.when(count == 1, value(0))
-    for n in (2, 3, 4):
-        picked = picked.when(count == n, value(n - 1))
-    return picked
+    digits = F.split(host, r"\.")
+    numbers = F.transform(
+        digits,
+        lambda d: F.when(d.startswith("0x"), F.conv(F.substr(d, F.lit(3)), 16, 10))
+        .when(d.startswith("0"), F.conv(d, 8, 10)).otherwise(d).cast("bigint"))
+    count = F.size(numbers)
+    leading = F.forall(F.slice(numbers, F.lit(1), count - 1), lambda n: n <= 255)
+    last = F.element_at(numbers, -1) < F.pow(F.lit(256), 5 - count)
+    return F.when(host.rlike(IPV4_FORM), leading & last).otherwise(F.lit(False))
 
 
 def _without_dots(segments: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailgrain.functions import text as tx
+from mailgrain.functions import urls as ux
 from mailgrain.operators import intel as ti
 from mailgrain.operators import redirects as rd
 from mailgrain.operators import url_scoring as us
@@ -47,10 +47,10 @@ def recommendations(level: Column, structure_flags: Column, phishing_level: Colu
         .when(level == "medium", texts("medium"))
         .when(level == "low", texts("low"))
         .otherwise(texts("minimal")))
-    extra = tx.compact(
+    extra = F.array_compact(F.array(
         F.when(F.array_contains(structure_flags, "url_shortener"), F.lit(ADVICE_SHORTENER)),
         F.when(F.array_contains(structure_flags, "ip_address_domain"), F.lit(ADVICE_IP_HOST)),
-        F.when(phishing_level == "high", F.lit(ADVICE_PHISHING)))
+        F.when(phishing_level == "high", F.lit(ADVICE_PHISHING))))
     return F.concat(by_level, extra)
 
 
@@ -122,29 +122,45 @@ def score_urls(
         F.col("overall_risk_level"), F.col("structure_flags"), F.col("phishing_level")))
 
 
+def url_facts(messages: DataFrame, text: str = "content", params: Params = DEFAULTS) -> DataFrame:
+    """``uid, urls, points``: all that the URL summary needs of a message."""
+    lowered = messages.select("uid", text, F.lower(text).alias("_low"))
+    return lowered.select(
+        "uid", ux.extract_urls(F.col(text)).alias("urls"),
+        us.content_points("_low", params).alias("points"))
+
+
 def summarise_messages(
     messages: DataFrame,
     reports: DataFrame | None = None,
     params: Params = DEFAULTS,
     text: str = "content",
 ) -> DataFrame:
-    """URL summary per message; messages without URLs get level ``none``.
+    """URL summary per message; messages without URLs get level ``none``."""
+    return summarise_urls(url_facts(messages, text, params), reports, params)
+
+
+def summarise_urls(
+    facts: DataFrame, reports: DataFrame | None = None, params: Params = DEFAULTS
+) -> DataFrame:
+    """URL summary per row of :func:`url_facts`.
 
     The content points travel with the exploded rows as one small integer; the
     text itself never enters a shuffle.  Rows of one message stay in one task
     until the group-by, so map-side aggregation sends one narrow row each.
     """
-    base = messages.select("uid", F.col(text).alias("_text")).select(
-        "uid", us.content_points(F.col("_text"), params).alias("_points"), "_text")
-    occurrences = us.explode_urls(base, "_text", keep=("_points",))
-    scored = score_urls(occurrences, reports, params, "_points", flags=False)
-    severe = F.col("url").isNotNull() & (F.col("risk_rank") >= 4)
-    grouped = scored.groupBy("uid").agg(
+    occurrences = us.explode_urls(facts, "urls", keep=("points",))
+    scored = score_urls(occurrences, reports, params, "points", flags=False)
+    present = F.col("url").isNotNull()
+    narrow = scored.select(
+        "uid", "url", F.when(present, F.col("overall_risk_score")).alias("score"),
+        F.when(present, F.col("risk_rank")).alias("rank"))
+    grouped = narrow.groupBy("uid").agg(
         F.count("url").cast("int").alias("urls_found"),
-        F.max(F.when(F.col("url").isNotNull(), F.col("overall_risk_score"))).alias("max_risk_score"),
-        F.avg(F.when(F.col("url").isNotNull(), F.col("overall_risk_score"))).alias("average_risk_score"),
-        F.max(F.when(F.col("url").isNotNull(), F.col("risk_rank"))).alias("_rank"),
-        F.sort_array(F.collect_list(F.when(severe, F.col("url")))).alias("high_risk_urls"),
+        F.max("score").alias("max_risk_score"),
+        F.avg("score").alias("average_risk_score"),
+        F.max("rank").alias("_rank"),
+        F.sort_array(F.collect_list(F.when(F.col("rank") >= 4, F.col("url")))).alias("high_risk_urls"),
     )
     found, bad = F.col("urls_found"), F.size("high_risk_urls")
     bad_text = F.when(bad > 0, bad.cast("string")).otherwise(F.lit("No"))

@@ -9,43 +9,45 @@ from mailgrain.functions import text as tx
 from mailgrain.params import DEFAULTS, Params
 
 
-def suspicious_score(text: Column, lowered: Column, params: Params = DEFAULTS) -> Column:
-    """Points for shouting, money, shorteners, urgency, odd characters and gaps."""
-    whole = (
-        tx.points(tx.count_char(text, "!") > 3, 1)
-        + tx.points(tx.uppercase_ratio(text) > F.lit(0.3), 2)
-        + tx.points(text.rlike("[A-Z]{4,}"), 1)
-        + tx.occurrence_points(lowered, params.money_patterns)
-        + tx.occurrence_points(lowered, params.shortener_patterns)
-        + tx.occurrence_points(lowered, params.urgency_patterns)
-    )
-    halves = (
-        tx.points(F.octet_length(text) != F.length(text), 0.5)
-        + tx.points(text.rlike(tx.SPACE + "{5,}"), 0.5)
-    )
-    return whole + halves
+def with_lowered(messages: DataFrame, text: str) -> DataFrame:
+    """Add ``_low`` once, for all rules that ignore case."""
+    return messages.withColumn("_low", F.lower(text))
 
 
-def opt_out_score(lowered: Column, params: Params = DEFAULTS) -> Column:
+def suspicious_score(text: str, lowered: str, params: Params = DEFAULTS) -> Column:
+    """Points for shouting, money, shorteners, urgency, odd characters and gaps."""
+    t = F.col(text)
+    shouting = (
+        F.when(tx.count_char(t, "!") > 3, 1).otherwise(0)
+        + F.when(tx.uppercase_ratio(t) > F.lit(0.3), 2).otherwise(0)
+        + F.when(t.rlike("[A-Z]{4,}"), 1).otherwise(0))
+    patterns = tx.occurrence_points(
+        lowered, params.money_patterns + params.shortener_patterns + params.urgency_patterns)
+    odd = F.when(F.octet_length(t) != F.length(t), 0.5).otherwise(0.0)
+    gaps = F.when(t.rlike(tx.SPACE + "{5,}"), 0.5).otherwise(0.0)
+    return shouting + patterns + (odd + gaps)
+
+
+def opt_out_score(lowered: str, params: Params = DEFAULTS) -> Column:
     return tx.occurrence_points(lowered, params.opt_out_patterns)
 
 
-def sender_score(sender: Column, params: Params = DEFAULTS) -> Column:
+def sender_score(sender: str, params: Params = DEFAULTS) -> Column:
     """Points for disposable or machine-made addresses, less reputable hosts."""
-    low = F.lower(sender)
-    raised = (
-        tx.total(tx.points(low.contains(d), 2) for d in params.disposable_senders)
-        + tx.points(low.rlike(tx.portable(r"[a-z]{1,2}\d{3,}@")), 1)
-        + tx.points(low.rlike(tx.portable(r"\d{5,}@")), 1)
-    )
-    lowered = tx.total(tx.points(low.contains(d), 1) for d in params.reputable_senders)
-    return F.coalesce(F.greatest(raised - lowered, F.lit(0)), F.lit(0))
+    low = f"lower({sender})"
+    holds = lambda host: f"contains({low}, {tx.quoted(host)})"
+    raised = tx.weigh([
+        *((holds(d), 2) for d in params.disposable_senders),
+        (tx.occurs(low, r"[a-z]{1,2}\d{3,}@"), 1),
+        (tx.occurs(low, r"\d{5,}@"), 1)])
+    lowered = tx.weigh((holds(d), 1) for d in params.reputable_senders)
+    return F.greatest(raised - lowered, F.lit(0))
 
 
-def has_unsubscribe(content: Column, header: Column, params: Params = DEFAULTS) -> Column:
+def offers_unsubscribe(lowered: str, header: str, params: Params = DEFAULTS) -> Column:
     """A non-empty List-Unsubscribe header, or wording that offers a way out."""
-    wording = tx.any_occurs(F.lower(content), params.unsubscribe_patterns)
-    return F.coalesce(header != "", F.lit(False)) | F.coalesce(wording, F.lit(False))
+    wording = tx.any_occurs(lowered, params.unsubscribe_patterns)
+    return F.coalesce(F.col(header) != "", F.lit(False)) | F.coalesce(wording, F.lit(False))
 
 
 def rule_features(
@@ -55,17 +57,15 @@ def rule_features(
     params: Params = DEFAULTS,
 ) -> DataFrame:
     """Add the six rule features; null text counts as zero everywhere."""
-    present = messages.withColumn("_lowered", F.lower(text))
-    t, low = F.col(text), F.col("_lowered")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return present.withColumns({
-        "spam_keywords": zero(tx.keyword_count(low, params.spam_keywords)),
-        "ham_keywords": zero(tx.keyword_count(low, params.ham_keywords)),
-        "suspicious_patterns": F.coalesce(suspicious_score(t, low, params), F.lit(0.0)),
-        "unsubscribe_patterns": zero(opt_out_score(low, params)),
-        "sender_reputation": sender_score(F.col(sender), params) if sender else F.lit(0),
-        "text_length": zero(F.length(tx.strip(t))),
-    }).drop("_lowered")
+    return with_lowered(messages, text).withColumns({
+        "spam_keywords": tx.keyword_count("_low", params.spam_keywords),
+        "ham_keywords": tx.keyword_count("_low", params.ham_keywords),
+        "suspicious_patterns": F.coalesce(suspicious_score(text, "_low", params), F.lit(0.0)),
+        "unsubscribe_patterns": opt_out_score("_low", params),
+        "sender_reputation": sender_score(sender, params) if sender else F.lit(0),
+        "text_length": zero(F.length(tx.strip(F.col(text)))),
+    }).drop("_low")
 
 
 def score_rules(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +9,26 @@ from mailgrain.functions import text as tx
 from mailgrain.functions import urls as ux
 from mailgrain.params import DEFAULTS, Params
 
-Finding = tuple[Column, int, str]
+# A sign: SQL predicate on the columns of a URL row, points, and reported name.
+Sign = tuple[str, int, str]
+
+
+def _points(signs: list[Sign]) -> Column:
+    return tx.weigh((sign, worth) for sign, worth, _ in signs)
 
 
-def _score(findings: Iterable[Finding]) -> Column:
-    return tx.total(tx.points(F.coalesce(hit, F.lit(False)), worth) for hit, worth, _ in findings)
+def _names(signs: list[Sign]) -> Column:
+    return tx.names_of((sign, name) for sign, _, name in signs)
 
 
-def _names(findings: Iterable[Finding]) -> Column:
-    return tx.compact(*[F.when(hit, F.lit(name)) for hit, _, name in findings])
+def with_urls(messages: DataFrame, text: str = "content", out: str = "urls") -> DataFrame:
+    """Add the array of distinct URLs of the text; null text has none."""
+    return messages.withColumn(out, ux.extract_urls(F.col(text)))
 
 
-def explode_urls(messages: DataFrame, text: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+def explode_urls(messages: DataFrame, urls: str = "urls", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per message and distinct URL; a message without any keeps one null row."""
-    return messages.select("uid", *keep, F.explode_outer(ux.extract_urls(F.col(text))).alias("url"))
+    return messages.select("uid", *keep, F.explode_outer(urls).alias("url"))
 
 
 def distinct_urls(urls: DataFrame) -> DataFrame:
@@ -41,45 +45,41 @@ def with_url_parts(urls: DataFrame, url: str = "url") -> DataFrame:
     }).withColumn("host", F.lower("netloc"))
 
 
-def structure_findings(host: Column, path: Column, params: Params = DEFAULTS) -> list[Finding]:
-    """Condition, points and flag of each structural sign, in report order."""
-    found = [(host.endswith(tld), 2, f"suspicious_tld_{tld}") for tld in params.suspicious_tlds]
-    found.append((
-        ux.is_ipv4_literal(F.replace(host, F.lit("www."), F.lit(""))), 3, "ip_address_domain"))
-    found.append((host.rlike(tx.portable(r"\d{3,}")), 1, "numeric_domain"))
-    found.append((F.size(F.split(host, r"\.")) > 4, 1, "excessive_subdomains"))
-    found.append((host.rlike("[0-9a-f]{8,}"), 2, "hex_domain"))
-    found.append((
-        F.coalesce(*[F.when(host.contains(s), True) for s in params.shortener_hosts], F.lit(False)),
-        2, "url_shortener"))
-    found.append((path.rlike("[a-zA-Z0-9]{20,}"), 1, "random_path"))
-    found += [
-        (host.contains(name) & ~host.endswith(f"{name}.com"), 3, f"mimics_{name}")
-        for name in params.trusted_names
+def structure_signs(params: Params = DEFAULTS) -> list[Sign]:
+    """Structural signs on ``host``, ``path`` and ``ip_host``, in report order."""
+    held = lambda part: f"contains(host, {tx.quoted(part)})"
+    ends = lambda part: f"endswith(host, {tx.quoted(part)})"
+    return [
+        *((ends(tld), 2, f"suspicious_tld_{tld}") for tld in params.suspicious_tlds),
+        ("ip_host", 3, "ip_address_domain"),
+        (tx.occurs("host", r"\d{3,}"), 1, "numeric_domain"),
+        ("size(split(host, '[.]')) > 4", 1, "excessive_subdomains"),
+        ("host RLIKE '[0-9a-f]{8,}'", 2, "hex_domain"),
+        (" OR ".join(held(s) for s in params.shortener_hosts) or "false", 2, "url_shortener"),
+        ("path RLIKE '[a-zA-Z0-9]{20,}'", 1, "random_path"),
+        *((f"{held(name)} AND NOT {ends(name + '.com')}", 3, f"mimics_{name}")
+          for name in params.trusted_names),
     ]
-    return found
-
 
-def url_keyword_findings(lowered: Column, params: Params = DEFAULTS) -> list[Finding]:
-    return [(lowered.contains(k), 2, f"url_keyword_{k}") for k in params.phishing_keywords]
 
+def keyword_signs(column: str, kind: str, worth: int, params: Params = DEFAULTS) -> list[Sign]:
+    """Phishing keywords in a lower-case column."""
+    return [(f"contains({column}, {tx.quoted(k)})", worth, f"{kind}_keyword_{k}")
+            for k in params.phishing_keywords]
 
-def content_findings(lowered: Column, params: Params = DEFAULTS) -> list[Finding]:
-    return [(lowered.contains(k), 1, f"content_keyword_{k}") for k in params.phishing_keywords]
 
+def typosquat(host: str, popular: str) -> str:
+    """Predicate: length within two, and one to three edits away from a popular host."""
+    near = f"length({host}) BETWEEN {len(popular) - 2} AND {len(popular) + 2}"
+    return f"({near} AND levenshtein({host}, {tx.quoted(popular)}, 3) BETWEEN 1 AND 3)"
 
-def lookalike_findings(lowered: Column, params: Params = DEFAULTS) -> list[Finding]:
-    return [(lowered.rlike(f"[{params.lookalike_letters}]"), 3, "homograph_attack")]
 
-
-def is_typosquat(host: Column, popular: str) -> Column:
-    """Length within two and one to three edits away from a popular host."""
-    near = F.length(host).between(len(popular) - 2, len(popular) + 2)
-    return F.when(near, F.levenshtein(host, F.lit(popular), 3).between(1, 3)).otherwise(F.lit(False))
-
-
-def typosquat_findings(host: Column, params: Params = DEFAULTS) -> list[Finding]:
-    return [(is_typosquat(host, p), 4, f"typosquat_{p}") for p in params.popular_hosts]
+def trick_signs(params: Params = DEFAULTS) -> list[Sign]:
+    """Look-alike letters in the lower-case URL, and near misses of popular hosts."""
+    return [
+        (f"_url_low RLIKE '[{params.lookalike_letters}]'", 3, "homograph_attack"),
+        *((typosquat("host", p), 4, f"typosquat_{p}") for p in params.popular_hosts),
+    ]
 
 
 def level_of_signs(score: Column) -> Column:
@@ -88,21 +88,21 @@ def level_of_signs(score: Column) -> Column:
 
 def score_structure(parts: DataFrame, params: Params = DEFAULTS, flags: bool = True) -> DataFrame:
     """Add ``structure_score`` (null when malformed) and optionally the flags."""
-    findings = structure_findings(F.col("host"), F.col("path"), params)
-    added = {"structure_score": F.when(~F.col("malformed"), _score(findings))}
+    bare = F.replace("host", F.lit("www."), F.lit(""))
+    signs = structure_signs(params)
+    added = {"structure_score": F.when(~F.col("malformed"), _points(signs))}
     if flags:
-        added["structure_flags"] = F.when(~F.col("malformed"), _names(findings))
-    return parts.withColumns(added)
+        added["structure_flags"] = F.when(~F.col("malformed"), _names(signs))
+    return parts.withColumn("ip_host", ux.is_ipv4_literal(bare)).withColumns(added).drop("ip_host")
 
 
-def content_points(content: Column, params: Params = DEFAULTS) -> Column:
-    """Phishing points of a message text; computed once per message, not per URL."""
-    return _score(content_findings(F.lower(content), params))
+def content_points(lowered: str, params: Params = DEFAULTS) -> Column:
+    """Phishing points of a lower-case text; computed once per message, not per URL."""
+    return _points(keyword_signs(lowered, "content", 1, params))
 
 
-def content_indicators(content: Column, params: Params = DEFAULTS) -> Column:
-    return F.coalesce(
-        _names(content_findings(F.lower(content), params)), F.array().cast("array<string>"))
+def content_indicators(lowered: str, params: Params = DEFAULTS) -> Column:
+    return _names(keyword_signs(lowered, "content", 1, params))
 
 
 def score_phishing(
@@ -116,22 +116,17 @@ def score_phishing(
 
     All three are null when the URL is malformed, so it adds nothing later.
     """
-    source = parts.withColumn("_url_lower", F.lower("url"))
-    low = F.col("_url_lower")
-    keywords = url_keyword_findings(low, params)
-    others = lookalike_findings(low, params) + typosquat_findings(F.col("host"), params)
+    source = parts.withColumn("_url_low", F.lower("url"))
+    keywords, tricks = keyword_signs("_url_low", "url", 2, params), trick_signs(params)
     from_content = F.col(content_points_col) if content_points_col else F.lit(0)
     usable = ~F.col("malformed")
-    out = source.withColumn(
-        "phishing_score", F.when(usable, _score(keywords + others) + from_content))
-    added = {"phishing_level": F.when(usable, level_of_signs(F.col("phishing_score")))}
+    added = {"phishing_score": F.when(usable, _points(keywords + tricks) + from_content)}
     if flags:
-        middle = (
-            F.col(content_indicators_col) if content_indicators_col
-            else F.array().cast("array<string>"))
+        middle = [F.col(content_indicators_col)] if content_indicators_col else []
         added["phishing_indicators"] = F.when(
-            usable, F.concat(_names(keywords), middle, _names(others)))
-    return out.withColumns(added).drop("_url_lower")
+            usable, F.concat(_names(keywords), *middle, _names(tricks)))
+    return source.withColumns(added).withColumn(
+        "phishing_level", F.when(usable, level_of_signs(F.col("phishing_score")))).drop("_url_low")
 
 
 def url_report_columns() -> list[Column]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailgrain.functions.text import total
 from mailgrain.params import ENSEMBLE_WEIGHTS
 
 
+def total(columns: Iterable[Column]) -> Column:
+    return reduce(add, columns, F.lit(0.0))
+
+
 def single_vote(p_spam: Column) -> tuple[Column, Column]:
     """Prediction and confidence of one model; a tie is class 0."""
     other = F.lit(1.0) - p_spam
@@ -25,7 +30,7 @@ def decision_vote(decision: Column) -> tuple[Column, Column]:
 
 def soft_vote(p_spam: Mapping[str, Column]) -> tuple[Column, Column]:
     """Unweighted mean of the probabilities."""
-    return single_vote(total(p_spam.values(), 0.0) / F.lit(float(len(p_spam))))
+    return single_vote(total(p_spam.values()) / F.lit(float(len(p_spam))))
 
 
 def weighted_vote(
@@ -45,10 +50,10 @@ def weighted_vote(
         votes.append(part(prediction * weight * confidence))
         sure.append(part(confidence * weight))
         mass.append(part(weight))
-    mass_sum = total(mass, 0.0)
-    prediction = (total(votes, 0.0) / mass_sum > F.lit(0.5)).cast("int")
+    mass_sum = total(mass)
+    prediction = (total(votes) / mass_sum > F.lit(0.5)).cast("int")
     any_model = mass_sum > 0
     return (
         F.when(any_model, prediction),
-        F.when(any_model, total(sure, 0.0) / mass_sum).otherwise(F.lit(0.0)),
+        F.when(any_model, total(sure) / mass_sum).otherwise(F.lit(0.0)),
     )

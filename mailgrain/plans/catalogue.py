@@ -20,7 +20,7 @@ from mailgrain.plans import views as v
 from mailgrain.plans.views import AS_OF, CHECK
 from mailgrain.sources import labelled_csv, mail
 from mailgrain.sources.store import HistoryStore
-from mailgrain.sources.workspace import shared_folder
+from mailgrain.sources.workspace import cut_lineage, shared_folder
 from mailgrain.streaming.monitor import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,34 +53,34 @@ def html_to_text(spark, folder):
 def keyword_counts(spark, folder):
     rows = v.messages(spark, folder).select("uid", F.lower("content").alias("low"))
     return rows.select(
-        "uid", tx.keyword_count(F.col("low"), CHECK.spam_keywords).alias("spam_keywords"),
-        tx.keyword_count(F.col("low"), CHECK.ham_keywords).alias("ham_keywords"))
+        "uid", tx.keyword_count("low", CHECK.spam_keywords).alias("spam_keywords"),
+        tx.keyword_count("low", CHECK.ham_keywords).alias("ham_keywords"))
 
 
 @query
 def suspicious_patterns(spark, folder):
     rows = v.messages(spark, folder).select("uid", "content", F.lower("content").alias("low"))
-    score = rules.suspicious_score(F.col("content"), F.col("low"), CHECK)
+    score = rules.suspicious_score("content", "low", CHECK)
     return rows.select("uid", score.alias("score"))
 
 
 @query
 def unsubscribe_patterns(spark, folder):
     rows = v.messages(spark, folder).select("uid", F.lower("content").alias("low"))
-    return rows.select("uid", rules.opt_out_score(F.col("low"), CHECK).alias("score"))
+    return rows.select("uid", rules.opt_out_score("low", CHECK).alias("score"))
 
 
 @query
 def has_unsubscribe(spark, folder):
-    rows = v.messages(spark, folder)
-    offer = rules.has_unsubscribe(F.col("content"), F.col("list_unsubscribe"), CHECK)
+    rows = rules.with_lowered(v.messages(spark, folder), "content")
+    offer = rules.offers_unsubscribe("_low", "list_unsubscribe", CHECK)
     return rows.select("uid", offer.alias("has_unsubscribe"))
 
 
 @query
 def sender_reputation(spark, folder):
     rows = v.messages(spark, folder)
-    return rows.select("uid", "sender", rules.sender_score(F.col("sender"), CHECK).alias("score"))
+    return rows.select("uid", "sender", rules.sender_score("sender", CHECK).alias("score"))
 
 
 @query
@@ -121,13 +121,13 @@ def normalise_tokens(spark, folder):
 
 @query
 def extract_urls(spark, folder):
-    found = us.explode_urls(v.messages(spark, folder))
+    found = us.explode_urls(us.with_urls(v.messages(spark, folder)))
     return found.where(F.col("url").isNotNull())
 
 
 @query
 def distinct_urls(spark, folder):
-    return us.distinct_urls(us.explode_urls(v.messages(spark, folder)))
+    return us.distinct_urls(us.explode_urls(us.with_urls(v.messages(spark, folder))))
 
 
 @query
@@ -145,9 +145,9 @@ def url_structure(spark, folder):
 
 @query
 def url_phishing(spark, folder):
-    rows = v.messages(spark, folder).select(
-        "uid", "content", us.content_points(F.col("content"), CHECK).alias("points"),
-        us.content_indicators(F.col("content"), CHECK).alias("signs"))
+    rows = us.with_urls(rules.with_lowered(v.messages(spark, folder), "content")).select(
+        "uid", "urls", us.content_points("_low", CHECK).alias("points"),
+        us.content_indicators("_low", CHECK).alias("signs"))
     found = us.explode_urls(rows, keep=("points", "signs")).where(F.col("url").isNotNull())
     scored = us.score_phishing(us.with_url_parts(found), CHECK, "points", "signs")
     return scored.select(
@@ -166,8 +166,8 @@ def url_phishing_probe(spark, folder):
 @query
 def typosquat(spark, folder):
     parts = us.with_url_parts(v.page_urls(spark, folder))
-    hits = [F.when(us.is_typosquat(F.col("host"), p), F.lit(p)) for p in CHECK.popular_hosts]
-    return parts.select("url", "host", joined(tx.compact(*hits)).alias("targets"))
+    hits = tx.names_of((us.typosquat("host", p), p) for p in CHECK.popular_hosts)
+    return parts.select("url", "host", joined(hits).alias("targets"))
 
 
 @query
@@ -235,10 +235,11 @@ def message_url_summary(spark, folder):
 
 @query
 def message_url_summary_joined(spark, folder):
-    rows = v.messages(spark, folder)
-    tables = process.Tables(v.redirect_hops(spark, folder), v.intel_reports(spark, folder))
-    found = process.lookup_reports(rows, tables, CHECK)
-    return _summary_text(risk.summarise_messages(rows, found, CHECK))
+    facts = cut_lineage(risk.url_facts(v.messages(spark, folder), "content", CHECK))
+    reports = risk.url_reports(
+        us.distinct_urls(us.explode_urls(facts)), v.redirect_hops(spark, folder),
+        v.intel_reports(spark, folder), CHECK)
+    return _summary_text(risk.summarise_urls(facts, reports, CHECK))
 
 
 def _summary_text(rows: DataFrame) -> DataFrame:
@@ -251,14 +252,14 @@ def _summary_text(rows: DataFrame) -> DataFrame:
 # -- unsubscribe -----------------------------------------------------------
 
 def _offered(spark, folder) -> DataFrame:
-    rows = v.messages(spark, folder)
-    return rows.withColumn("has_unsubscribe", rules.has_unsubscribe(
-        F.col("content"), F.col("list_unsubscribe"), CHECK))
+    rows = us.with_urls(rules.with_lowered(v.messages(spark, folder), "content")).withColumn(
+        "has_unsubscribe", rules.offers_unsubscribe("_low", "list_unsubscribe", CHECK))
+    return unsubscribe.with_candidates(rows, CHECK).select("uid", "has_unsubscribe", "candidates")
 
 
 @query
 def unsubscribe_urls(spark, folder):
-    return unsubscribe.candidates(v.messages(spark, folder), CHECK).where(
+    return unsubscribe.explode_candidates(_offered(spark, folder)).where(
         F.col("url").isNotNull()).select("uid", "url")
 
 
