@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Executors receive these functions by value, so they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -149,7 +150,7 @@ def stem(token: str) -> str:
     return _tidy(_residue(word))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem every token of each array and join them by one blank.
 

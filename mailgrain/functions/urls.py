@@ -17,6 +17,9 @@ URL_PATTERNS = (
     rf"[wW][wW][wW]\.{URL_CHARS}+",
     rf"[{ALNUM}][{ALNUM}-]{{1,61}}[{ALNUM}]\.[a-zA-Z{FOLDED}]{{2,}}",
 )
+# Schemes whose last path segment may carry parameters.
+PARAM_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "sip", "sips",
+                 "mms", "sftp", "tel")
 DOMAIN_END = rf"\.[a-zA-Z{FOLDED}]{{2}}"
 
 # inet_aton number forms, already limited to 32 bits by digit count.
@@ -79,9 +82,12 @@ def split_url(url: Column) -> UrlParts:
     part = lambda n: F.regexp_extract(clean, _SPLIT, n)
     netloc = part(2)
     full_path = part(3)
-    path = F.regexp_extract(full_path, r"\A((?:.*/)?[^/;]*)", 1)
+    scheme = F.lower(part(1))
+    path = F.when(
+        scheme.isin(*PARAM_SCHEMES), F.regexp_extract(full_path, r"\A((?:.*/)?[^/;]*)", 1)
+    ).otherwise(full_path)
     return UrlParts(
-        scheme=F.lower(part(1)),
+        scheme=scheme,
         netloc=netloc,
         path=path,
         params=F.substr(full_path, F.length(path) + 2),
@@ -139,10 +145,11 @@ def resolve_location(base: Column, location: Column) -> Column:
         F.slice(base_segments, F.lit(1), F.size(base_segments) - 1),
     ).otherwise(base_segments)
     own = F.split(loc.path, "/")
-    joined = F.when(loc.path.startswith("/"), own).otherwise(F.concat(base_dir, own))
-    # Empty segments survive only at both ends.
-    size = F.size(joined)
-    kept = F.filter(joined, lambda s, i: (i == 0) | (i == size - 1) | (s != ""))
+    # Below the base directory empty segments survive only at both ends.
+    below = F.concat(base_dir, own)
+    size = F.size(below)
+    tidy = F.filter(below, lambda s, i: (i == 0) | (i == size - 1) | (s != ""))
+    kept = F.when(loc.path.startswith("/"), own).otherwise(tidy)
     merged = F.array_join(_without_dots(kept), "/")
     rooted = F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
 
