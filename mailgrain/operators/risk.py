@@ -140,22 +140,38 @@ def summarise_messages(
     return summarise_urls(url_facts(messages, text, params), reports, params)
 
 
-def summarise_urls(
-    facts: DataFrame, reports: DataFrame | None = None, params: Params = DEFAULTS
-) -> DataFrame:
-    """URL summary per row of :func:`url_facts`.
+def _message_scores(facts: DataFrame, reports: DataFrame | None, params: Params) -> DataFrame:
+    """``uid, url, score, rank`` per message and URL; one row of nulls without URLs.
 
     The content points travel with the exploded rows as one small integer; the
-    text itself never enters a shuffle.  Rows of one message stay in one task
-    until the group-by, so map-side aggregation sends one narrow row each.
+    text itself never enters a shuffle.
     """
     occurrences = us.explode_urls(facts, "urls", keep=("points",))
     scored = score_urls(occurrences, reports, params, "points", flags=False)
     present = F.col("url").isNotNull()
-    narrow = scored.select(
+    return scored.select(
         "uid", "url", F.when(present, F.col("overall_risk_score")).alias("score"),
         F.when(present, F.col("risk_rank")).alias("rank"))
-    grouped = narrow.groupBy("uid").agg(
+
+
+def count_urls(
+    facts: DataFrame, reports: DataFrame | None = None, params: Params = DEFAULTS
+) -> DataFrame:
+    """``uid, urls_found, high_risk_urls``: counts only, in one hash aggregate."""
+    return _message_scores(facts, reports, params).groupBy("uid").agg(
+        F.count("url").cast("int").alias("urls_found"),
+        F.count(F.when(F.col("rank") >= 4, 1)).cast("int").alias("high_risk_urls"))
+
+
+def summarise_urls(
+    facts: DataFrame, reports: DataFrame | None = None, params: Params = DEFAULTS
+) -> DataFrame:
+    """URL summary per row of :func:`url_facts`.
+
+    Rows of one message stay in one task until the group-by, so map-side
+    aggregation sends one narrow row each.
+    """
+    grouped = _message_scores(facts, reports, params).groupBy("uid").agg(
         F.count("url").cast("int").alias("urls_found"),
         F.max("score").alias("max_risk_score"),
         F.avg("score").alias("average_risk_score"),
