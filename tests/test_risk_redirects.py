@@ -56,6 +56,43 @@ def test_chains_match_a_walk(spark):
             assert r["final_url"] == want[1] and r["redirect_count"] == len(want[0]) - 1
 
 
+def test_filtered_hops_give_the_same_chains(spark, monkeypatch):
+    urls = ["http://n.org/0", "http://end.org", "https://s1.org"]
+    plain = {u: r.asDict() for u, r in chains(spark, urls).items()}
+    monkeypatch.setattr(redirects, "MANY_HOPS", 1)
+    assert {u: r.asDict() for u, r in chains(spark, urls).items()} == plain
+
+
+def test_hot_targets_and_hot_urls(spark):
+    """A third of all chains share one target, a third of all messages one URL."""
+    n = 3000
+    hops = spark.range(n).select(
+        F.concat(F.lit("http://r.org/"), F.col("id").cast("string")).alias("url"), F.lit(301).alias("status"),
+        F.when(F.col("id") % 3 == 0, "http://hot.org").otherwise("http://end.org").alias("location")
+    ).unionByName(spark.createDataFrame(
+        [("http://hot.org", 302, "http://end.org"), ("http://end.org", 200, None)], schemas.HOPS))
+    hops = hops.unionByName(hops.where("url = 'http://hot.org'"))
+    rows = redirects.score_redirects(redirects.follow_redirects(hops.select("url").distinct(), hops))
+    counts = {r["redirect_count"]: r["count"] for r in rows.groupBy("redirect_count").count().collect()}
+    assert counts == {2: 1000, 1: 2001, 0: 1}
+    messages = spark.range(n).select(
+        F.col("id").cast("string").alias("uid"),
+        F.when(F.col("id") % 3 == 0, "see http://hot.org/ now").when(F.col("id") % 3 == 1, "nothing")
+        .otherwise(F.concat(F.lit("see http://r.org/"), F.col("id").cast("string"))).alias("content"))
+    facts = risk.url_facts(messages)
+    reports_of = risk.url_reports(spark.createDataFrame([("http://hot.org/",)], "url string"), hops)
+    got = risk.summarise_urls(facts, reports_of)
+    assert got.count() == n and got.where("urls_found = 0").count() == 1000
+
+
+def test_no_cartesian_products(spark):
+    hops = spark.createDataFrame(HOPS, schemas.HOPS)
+    rows = spark.createDataFrame([("m", "http://a.tk")], "uid string, content string")
+    reports_of = risk.url_reports(hops.select("url"), hops)
+    plan = risk.summarise_messages(rows, reports_of)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner\n" not in plan
+
+
 def test_chain_scores(spark):
     got = chains(spark, ["http://end.org", "http://self.org", "https://s1.org", "http://n.org/0", "http://lost.org"])
     facts = lambda u: (got[u]["redirect_score"], got[u]["redirect_flags"], got[u]["redirect_level"])
