@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the shared folder the cluster names.
 
-    Without that setting only a local session gets a temporary folder; on a
-    cluster a machine-local folder would lose data, so that is an error.
+    Without that setting the folder lies under the session's warehouse, which
+    the driver and the executors share as well; never in a machine's own
+    temporary folder.
     """
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="mailgrain-")
+    root = root or f"{spark.conf.get(WAREHOUSE).rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this job made, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(rows: DataFrame) -> DataFrame:
     """Materialise rows in the checkpoint folder, so later work does not repeat theirs.
 
-    The folder is the session's own; a local session without one gets one.
+    The folder is the session's own; a session without one gets one.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write rows as a table in the shared folder and read them back."""
+    folder = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
