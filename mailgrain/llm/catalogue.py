@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import window_dedup
+from mailgrain.llm import curriculum, topk_search, window_dedup
+from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def n_words(text) -> Column:
+    """Number of words in a text; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 # -- 1 ----------------------------------------------------------------------
 
 @query
@@ -58,3 +64,83 @@ SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words,
        CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN counted USING (doc_id)
 """
+
+
+# -- 3 ----------------------------------------------------------------------
+
+@query
+def op3_topk_search(spark, folder):
+    return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL["op3_topk_search"] = """
+WITH valid AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+# -- 7 ----------------------------------------------------------------------
+
+@query
+def op7_mixing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", n_words("text").alias("size"))
+    mixed = curriculum.mix(stored(docs, "sizes"))
+    first = F.try_element_at("positions", F.lit(1))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position")
+    ).orderBy("first_position", "doc_id")
+
+
+SQL["op7_mixing"] = rf"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+    FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, CASE turn WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+           3 * source_size AS most
+    FROM sources
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (
+                  ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighed
+), aimed AS (
+    SELECT source, source_size, turn, least(CAST(most AS DOUBLE),
+           max(CASE WHEN level * weight <= most THEN level END) OVER () * weight) AS target
+    FROM levels
+), run AS (
+    SELECT doc_id, s.source, size, coalesce(sum(size) OVER (
+        PARTITION BY s.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE
+        AS middle
+    FROM sized s
+), taken AS (
+    SELECT r.*, source_size, target, turn,
+           CASE WHEN source_size = 0 THEN 1
+                ELSE CAST(greatest(floor((target - middle) / source_size) + 1, 0) AS INTEGER) END AS copies
+    FROM run r JOIN aimed a ON r.source IS NOT DISTINCT FROM a.source
+), placed AS (
+    SELECT *, 2 * (CASE WHEN target = 0 THEN 0 ELSE middle / target END) *
+              CASE turn WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS twice,
+           CASE turn WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS w,
+           CASE turn WHEN 0 THEN -5.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS slope
+    FROM taken
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, CAST(copies AS INTEGER) AS copies,
+       CASE WHEN copies > 0 THEN twice / (w + sqrt(greatest(w * w + slope * twice, 0))) END AS first_position
+FROM placed
+"""
