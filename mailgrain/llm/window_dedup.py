@@ -57,7 +57,9 @@ def later_repeats(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return same
 
 
-def find_repeats(docs: DataFrame, length: int, depth: int, chunks: int, bits: int) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, length: int, depth: int, buckets: int, bits: int,
+) -> DataFrame:
     """Per chunk, packed window numbers that start earlier in another chunk: chunk, n, at."""
     block_bits = min(bits, BLOCK_BITS)
 
@@ -88,8 +90,6 @@ def find_repeats(docs: DataFrame, length: int, depth: int, chunks: int, bits: in
              pa.array([np.packbits(count[c] > 1).tobytes() for c in cells], pa.binary())],
             names=["chunk", "row", "block", "mask"])
 
-    buckets = max(chunks // 2, 1)
-
     def suspects(key, table, masks):
         table = k.in_order(table)
         (_, _, _, _, first), at, one, two = fingerprints(table, length)
@@ -127,10 +127,11 @@ def find_repeats(docs: DataFrame, length: int, depth: int, chunks: int, bits: in
         later = np.zeros(len(one), bool)
         later[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         edge = np.cumsum([0, *n])
-        found = [at[i:j][later[i:j]] for i, j in zip(edge, edge[1:])]
+        found = [(chunk, at[i:j][later[i:j]]) for chunk, i, j in zip(table["chunk"].to_pylist(), edge, edge[1:])]
+        found = [(chunk, f) for chunk, f in found if len(f)]
         return pa.Table.from_arrays(
-            [table["chunk"], pa.array([len(f) for f in found], pa.int64()),
-             pa.array([k.pack(f) for f in found], pa.binary())], names=["chunk", "n", "at"])
+            [pa.array([c for c, _ in found], pa.int64()), pa.array([len(f) for _, f in found], pa.int64()),
+             pa.array([k.pack(f) for _, f in found], pa.binary())], names=["chunk", "n", "at"])
 
     by_chunk = docs.groupBy("chunk")
     masks = (
@@ -159,7 +160,7 @@ def remove_repeats(
     total, chunks = k.parts(docs, F.octet_length(F.col(text_col)), chunk_bytes)
     bits = max(10, int(total).bit_length())
     dealt = k.chunked(docs, id_col, text_col, chunks)
-    repeats = find_repeats(dealt, length, depth, chunks, bits)
+    repeats = find_repeats(dealt, length, depth, max(1, total // (2 * chunk_bytes)), bits)
 
     def clean(table, found):
         table = k.in_order(table)
