@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import curriculum, topk_search, window_dedup
+from mailgrain.llm import curriculum, topk_search, weighted_sampling, window_dedup
 from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+# -- 5 ----------------------------------------------------------------------
+
+@query
+def op5_fingerprints(spark, folder):
+    signed = weighted_sampling.fingerprint(table(spark, folder, "documents").select("doc_id", "text"))
+    return signed.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 # -- 7 ----------------------------------------------------------------------
 
 @query
