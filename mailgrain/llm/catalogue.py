@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import curriculum, topk_search, weighted_sampling, window_dedup
+from mailgrain.llm import curriculum, parity_join, topk_search, weighted_sampling, window_dedup
 from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,39 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, CAST(copies AS
        CASE WHEN copies > 0 THEN twice / (w + sqrt(greatest(w * w + slope * twice, 0))) END AS first_position
 FROM placed
 """
+
+
+# -- 9 ----------------------------------------------------------------------
+
+@query
+def op9_jaccard_join(spark, folder):
+    return parity_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+SQL["op9_jaccard_join"] = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * both >= 75 * (x.n + y.n - both)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT a AS doc_id, b AS other FROM edges
+    UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)
+"""
