@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import curriculum, parity_join, topk_search, weighted_sampling, window_dedup
+from mailgrain.llm import curriculum, parity_join, suffix_dedup, topk_search, weighted_sampling, window_dedup
 from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,42 @@ FROM placed
 """
 
 
+# -- 8 ----------------------------------------------------------------------
+
+@query
+def op8_suffix_dedup(spark, folder):
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op8_suffix_dedup"] = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+    SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM texts
+), starts AS (
+    SELECT doc_id, p, h[2 * p + 1:2 * p + 2] AS b,
+           CASE WHEN len(h) // 2 - p >= 100 THEN md5(h[2 * p + 1:2 * p + 200]) END AS s
+    FROM bytes
+), ranked AS (
+    SELECT doc_id, p, b, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS later FROM starts
+), judged AS (
+    SELECT doc_id, p, b, max(CAST(later AS INTEGER)) OVER (
+        PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone
+    FROM ranked
+), edged AS (
+    SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS edge FROM judged
+), counted AS (
+    SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (WHERE edge) AS n_spans,
+           string_agg(CASE WHEN gone = 0 THEN b END, '' ORDER BY p) AS kept
+    FROM edged GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents d LEFT JOIN counted USING (doc_id)
+"""
+
+
 # -- 9 ----------------------------------------------------------------------
 
 @query
@@ -175,11 +211,11 @@ WITH RECURSIVE words AS (
 ), sizes AS (
     SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
     FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
     SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-    WHERE 100 * both >= 75 * (x.n + y.n - both)
+    WHERE 100 * common >= 75 * (x.n + y.n - common)
 ), edges AS (
     SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (
