@@ -32,11 +32,13 @@ def constants(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def last_at_most(bounds: Column, n: int, value: Column) -> Column:
-    """Number of sorted bounds that are at most the value (binary search)."""
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.get(bounds, at + step - 1) <= value, at + step).otherwise(at))
+def with_last_at_most(rows: DataFrame, bounds: Column, n: int, value: str, out: str) -> DataFrame:
+    """Add the number of sorted bounds that are at most the value: a binary search, one projection a step."""
+    rows = rows.withColumn(out, F.lit(0))
+    for i in reversed(range(n.bit_length())):
+        at = F.col(out) + (1 << i)
+        rows = rows.withColumn(out, F.when(F.get(bounds, at - 1) <= F.col(value), at).otherwise(F.col(out)))
+    return rows
 
 
 def run_bounds(docs: DataFrame, id_col: str, rows_per_run: int) -> list[int]:
@@ -57,14 +59,14 @@ def in_runs(docs: DataFrame, id_col: str, text_col: str, bounds: list[int], part
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     edges, n = constants(bounds, "bigint") if bounds else F.array().cast("array<bigint>"), len(bounds)
     run = F.when(
-        F.col("doc_id").isNull(), -F.pmod(F.xxhash64("text"), F.lit(max(n, 1) * 4)).cast("int")
-    ).otherwise(last_at_most(edges, n, F.col("doc_id")))
+        F.col("doc_id").isNull(), -F.pmod(F.xxhash64("text"), F.lit(max(n, 1) * 4)).cast("int")).otherwise(F.col("run"))
     first = F.get(edges, F.col("run") - 1) == F.col("doc_id")
     before = F.when(F.col("run") == 1, F.lit(n)).otherwise(F.col("run") - 1)
     places = F.when(first, F.array(
         F.struct(F.col("run"), F.lit(False).alias("guest")), F.struct(before.alias("run"), F.lit(True).alias("guest"))
     )).otherwise(F.array(F.struct(F.col("run"), F.lit(False).alias("guest"))))
     order = Window.partitionBy("run").orderBy("guest", "doc_id", "text")
+    rows = with_last_at_most(rows, edges, n, "doc_id", "run")
     return rows.withColumn("run", run).withColumn("to", F.explode(places)).select(
         "to.run", "to.guest", "doc_id", "text").repartition(partitions, "run").select(
         "run", F.row_number().over(order).alias("place"), "guest", "doc_id", "text",
@@ -155,9 +157,16 @@ def fingerprint(
     pairs = signed.groupBy("run", "place").agg(
         F.max(F.when(~F.col("changed"), F.col("signature"))).alias("own"),
         F.max(F.when(F.col("changed"), F.col("signature"))).alias("changed"))
-    order = Window.partitionBy("run").orderBy("place")
-    joined = rows.join(pairs, ["run", "place"], "left").select(
-        "*", F.lead("own").over(order).alias("next"))
+    # Not a join: that would shuffle the texts again, as it needs partitions by both keys.
+    nothing = F.lit(None)
+    both = rows.select("run", "place", "guest", "doc_id", "text", "edited", *(
+        nothing.cast("array<bigint>").alias(c) for c in ("own", "changed"))).unionByName(pairs.select(
+            "run", "place", *(nothing.cast(t).alias(c) for c, t in (
+                ("guest", "boolean"), ("doc_id", "bigint"), ("text", "string"), ("edited", "string"))), "own", "changed"))
+    here = Window.partitionBy("run", "place")
+    joined = both.select("run", "place", "guest", "doc_id", "text", "edited", *(
+        F.first(c, ignorenulls=True).over(here).alias(c) for c in ("own", "changed"))).where("guest IS NOT NULL")
+    joined = joined.select("*", F.lead("own").over(Window.partitionBy("run").orderBy("place")).alias("next"))
     return joined.where(~F.col("guest")).select(
         "doc_id", "text", "edited", written(F.col("own")).alias("fingerprint"),
         written(F.col("changed")).alias("edited_fingerprint"),
