@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import curriculum, parity_join, suffix_dedup, topk_search, weighted_sampling, window_dedup
+from mailgrain.llm import curriculum, length_buckets, parity_join, suffix_dedup, topk_search, weighted_sampling, window_dedup
 from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +226,12 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.d
 FROM documents d LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+
+# -- 10 ---------------------------------------------------------------------
+
+@query
+def op10_packing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", n_words("text").alias("length"))
+    return length_buckets.pack(stored(docs, "lengths")).select(
+        "doc_id", "length", "bucket", "bound", "batch", "padding")

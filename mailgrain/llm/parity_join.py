@@ -13,10 +13,12 @@ is at most (a + b) / 7 for sizes a and b.
   selective, come first.  A piece is sent as the XOR of its set bits' hashes.
   A document whose pieces are too few also sends its shingles as pieces.
 * Documents with equal sets count once from here on.  First, every document of
-  a piece is compared with the smallest one.  Components of those links are
-  found; then, within each piece, documents of different components are compared
-  if sizes and the Hamming distance of their sketches allow a link.  Documents of
-  one component need no comparison, so large groups of copies cost no pairs.
+  a piece is compared with the smallest one and the one before, if sizes and the
+  Hamming distance of their sketches allow a link.  Components of those links are
+  found; then, within each piece, documents of different components are compared:
+  in the first round as many as may join the components, in the second all that
+  are left.  Documents of one component need no comparison, so large groups of
+  copies cost no pairs.
 * Sets are compared exactly (48-bit shingle hashes, shipped once per candidate).
 """
 
@@ -34,7 +36,8 @@ from mailgrain.sources.workspace import stored
 SHINGLE = 5
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-SKETCH_BITS = 2048
+LEAST_BITS = 9
+BLOCK = 4096
 FULL, PAIRS, GROUPS = 8, 0, 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -70,18 +73,30 @@ def shingles(texts: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return value, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def sketches(value: np.ndarray, edge: np.ndarray, bits: int = SKETCH_BITS) -> list[bytes]:
-    """The parity sketch of each text."""
-    doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    spot, times = np.unique(doc * bits + (k.mix(value, 6) % k.U(bits)).astype(np.int64), return_counts=True)
-    odd = spot[times % 2 == 1]
-    at = np.searchsorted(odd, np.arange(len(edge)) * bits)
-    out = []
-    for i in range(len(edge) - 1):
-        flags = np.zeros(bits, np.uint8)
-        flags[odd[at[i]:at[i + 1]] - i * bits] = 1
-        out.append(np.packbits(flags).tobytes())
-    return out
+def sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """The parity sketch of each text: as many bits as shingles, up to the next power of two."""
+    size = np.diff(edge)
+    bits = np.int64(1) << np.maximum(LEAST_BITS, np.frexp(size.astype(np.float64))[1])
+    base = np.concatenate([[0], np.cumsum(bits)])
+    spot = np.repeat(base[:-1], size) + (k.mix(value, 6) & np.repeat(bits - 1, size).astype(k.U)).astype(np.int64)
+    spot, times = np.unique(spot, return_counts=True)
+    flags = np.zeros(int(base[-1]), np.uint8)
+    flags[spot[times % 2 == 1]] = 1
+    data = np.packbits(flags, bitorder="little").tobytes()
+    return [data[i:j] for i, j in zip(base // 8, base[1:] // 8)]
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same parities in a smaller sketch: halves of the last axis XOR-ed."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +166,8 @@ def send(ids, keys, buckets):
 
 
 def candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """kind, n, x, y, z: packed pairs with the smallest document of a piece; members of pieces with three or more."""
+    """kind, n, x, y, z: packed pairs of a piece's documents with its smallest and with the one before;
+    members of pieces with three or more."""
     def keys(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -170,9 +186,10 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         key, ids = key[new], ids[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        low = np.repeat(ids[first], size)
-        pair = np.unique(np.stack([low, ids], 1)[np.repeat(size, size) > 1], axis=0)
-        pair = pair[pair[:, 0] != pair[:, 1]]
+        low, rest = np.repeat(ids[first], size), np.ones(len(ids), bool)
+        rest[first] = False
+        pair = np.unique(np.concatenate([
+            np.stack([low[rest], ids[rest]], 1), np.stack([ids[:-1][rest[1:]], ids[rest]], 1)]), axis=0)
         to = (k.mix(pair[:, 0].view(k.U) ^ k.mix(pair[:, 1].view(k.U), 40), 41) % k.U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
@@ -252,24 +269,65 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a piece that sizes and sketches allow: rows piece, doc_id, root, n, sketch."""
+def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to be linked."""
+    def run(batches):
+        for batch in batches:
+            n, m = (k.one_array(batch.column(c)).to_numpy() for c in ("na", "nb"))
+            far = np.array([hamming(np.frombuffer(x, k.U), np.frombuffer(y, k.U)) for x, y in zip(
+                batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
+            keep = pa.array(far <= distance(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    left = sketched.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sketched.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(
+        100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
+    ).select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def across(members: DataFrame, forest: bool) -> DataFrame:
+    """Pairs of different components within a piece that sizes and sketches allow.
+
+    members: piece, size (of the piece), doc_id, root, n, sketch.  With ``forest``, only as many pairs as
+    join the components of a piece if all of them are links; else every such pair.
+    """
     def run(table):
-        ids, root, n = (k.one_array(table[c]).to_numpy() for c in ("doc_id", "root", "n"))
-        order = np.argsort(n, kind="stable")
+        ids, root, n = (k.one_array(table[c]).to_numpy().copy() for c in ("doc_id", "root", "n"))
+        order = np.lexsort((ids, n))
         ids, root, n = ids[order], root[order], n[order]
-        bits = np.frombuffer(b"".join(table["sketch"].take(pa.array(order)).to_pylist()), k.U).reshape(len(ids), -1)
+        raw = [table["sketch"][int(i)].as_py() for i in order]
+        words = np.array([len(r) // 8 for r in raw])
+        kinds, low = np.unique(words, return_index=True)
+        high = [*low[1:], len(ids)]
+        blocks = [np.frombuffer(b"".join(raw[i:j]), k.U).reshape(j - i, -1) for i, j in zip(low, high)]
         out = []
         for i in range(len(ids)):
-            j = i + 1 + np.flatnonzero(root[i + 1: np.searchsorted(100 * n, 400 * n[i] // 3, "right")] != root[i])
-            if len(j):
-                far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                j = j[far <= distance(n[i], n[j])]
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        pair = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            last = int(np.searchsorted(300 * n, 400 * n[i], "right"))
+            kind = int(np.searchsorted(kinds, words[i]))
+            mine = blocks[kind][i - low[kind]]
+            near = []
+            for c in range(kind, len(kinds)):
+                a, b = max(i + 1, low[c]), min(last, high[c])
+                if a < b:
+                    j = a + np.flatnonzero(root[a:b] != root[i])
+                    if len(j):
+                        near.append(j[hamming(blocks[c][j - low[c]], mine) <= distance(n[i], n[j])])
+            j = np.concatenate(near) if near else np.zeros(0, np.int64)
+            if forest and len(j):
+                merged, first = np.unique(root[j], return_index=True)
+                j = j[first]
+                root[np.isin(root, merged)] = root[i]
+            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+        pair = np.concatenate(out)
         return pa.Table.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    return members.groupBy("piece").applyInArrow(run, "a long, b long").distinct()
+    # Pieces with very many documents are cut into blocks, and every pair of blocks is a group of its own.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.groupBy("piece", F.least("own", "other"), F.greatest("own", "other")).applyInArrow(
+        run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,24 +353,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One set per document id from here on; ids are repeated only in odd inputs.
     of = stored(known.join(first, ["one", "two"]).groupBy("doc_id", "rep").agg(F.max("n").alias("n")), "copies")
     name = of.select("doc_id", "rep")
-    pairs = stored(
+    sketched = stored(known.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).join(
+        name.where("doc_id = rep").select("doc_id").distinct(), "doc_id").select("doc_id", "s.n", "s.sketch"), "sketches")
+    pairs = stored(possible(
         distinct_pairs(found).join(name.toDF("a", "ra"), "a").join(name.toDF("b", "rb"), "b")
-        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(), "pairs")
+        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct(),
+        sketched), "pairs")
     groups = stored(members(found).join(name, "doc_id").select("piece", F.col("rep").alias("doc_id")).distinct(), "members")
-
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select("doc_id")).distinct()
     sets = stored(sets_of(usable, wanted), "shingles")
     links = stored(verified(pairs, sets), "links")
-    roots = stored(components(links), "roots")
-
-    placed = groups.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id"))
-    mixed = placed.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    sketched = known.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch")
-    more = across(
-        placed.join(mixed.select("piece"), "piece", "left_semi").join(sketched, "doc_id")
-        .select("piece", "doc_id", "root", "n", "sketch")).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(stored(more, "pairs"), sets))
+    for forest in (True, False):
+        roots = components(links).withColumnRenamed("node", "doc_id")
+        placed = stored(groups.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+        mixed = placed.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")
+        ).where("low < high").select("piece", "size")
+        more = stored(across(
+            placed.join(mixed, "piece").join(sketched, "doc_id"), forest
+        ).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        links, pairs = stored(links.unionByName(verified(more, sets)), "links"), pairs.unionByName(more)
     roots = components(links).withColumnRenamed("node", "rep")
 
     rep = facts.join(first, ["one", "two"], "left").join(roots, "rep", "left")
