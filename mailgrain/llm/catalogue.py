@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailgrain.llm import curriculum, length_buckets, parity_join, suffix_dedup, topk_search, weighted_sampling, window_dedup
+from mailgrain.llm import (
+    curriculum, length_buckets, parity_join, quality_machine, suffix_dedup, token_trees, topk_search, weighted_sampling,
+    window_dedup,
+)
 from mailgrain.sources.workspace import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +91,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+# -- 4 ----------------------------------------------------------------------
+
+@query
+def op4_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, folder, "labels").where(~quality_machine.held_out(F.col("doc_id")))
+    scored = quality_machine.score(docs, quality_machine.train(docs, labels))
+    return scored.select(
+        "doc_id", quality_machine.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_machine.THRESHOLD).cast("int").alias("predicted"))
+
+
 # -- 5 ----------------------------------------------------------------------
 
 @query
@@ -98,6 +113,25 @@ def op5_fingerprints(spark, folder):
         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+# -- 6 ----------------------------------------------------------------------
+
+def sample_edits(text: Column) -> Column:
+    """Two edits: the middle third's beginning is cut, and its end gets a new line with the text's first words."""
+    third = F.floor(F.length(text) / 3).cast("long")
+    return F.array(
+        F.struct(third.alias("start"), (third + 40).alias("stop"), F.lit(" ").alias("text")),
+        F.struct((2 * third).alias("start"), (2 * third).alias("stop"),
+                 F.concat(F.lit("\n"), F.substring(text, 1, 30)).alias("text")))
+
+
+@query
+def op6_token_counts(spark, folder):
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", sample_edits(F.coalesce("text", F.lit(""))).alias("edits"))
+    return token_trees.recount(docs).select(
+        "doc_id", "n_tokens", "n_pretokens", "edited_tokens", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 # -- 7 ----------------------------------------------------------------------
 
 @query
