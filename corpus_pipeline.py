@@ -1,5 +1,71 @@
-"""The corpus pipeline; its stages follow."""
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and the documents its predecessor kept,
+written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailgrain.llm import curriculum, length_buckets, parity_join, quality_machine, suffix_dedup
+from mailgrain.llm.catalogue import n_words
+from mailgrain.sources.workspace import stored
+
+#: Documents whose quality scores less are rejected.
+REJECTED_BELOW = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality_machine.held_out(F.col("doc_id")))
+    scored = quality_machine.score(docs, quality_machine.train(docs, labels), keep=tuple(docs.columns))
+    return scored.where(F.col("score") >= REJECTED_BELOW).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; documents without id stay."""
+    groups = parity_join.near_duplicates(docs)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that start earlier, cut at whole characters."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    rows = suffix_dedup.remove_repeats(docs, whole_characters=True, keep=others)
+    text = F.col("kept").cast("string")
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for, in training order."""
+    mixed = curriculum.mix(docs.withColumn("_size", n_words("text")), "_size")
+    return curriculum.training_order(mixed).select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every copy of a document."""
+    sized = stored(docs.select("doc_id", n_words("text").alias("length")), "lengths")
+    return length_buckets.pack(sized).select("doc_id", "length", "bucket", "bound", "batch", "padding")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("suffix-array dedup", drop_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_documents),
+]
+
+#: A fitted classifier is not SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrain.llm import (
-    curriculum, length_buckets, parity_join, quality_machine, suffix_dedup, token_trees, topk_search, weighted_sampling,
+    block_labeller, curriculum, length_buckets, parity_join, quality_machine, suffix_dedup, token_trees, topk_search, weighted_sampling,
     window_dedup,
 )
 from mailgrain.sources.workspace import stored
@@ -69,6 +69,14 @@ FROM documents d LEFT JOIN counted USING (doc_id)
 """
 
 
+# -- 2 ----------------------------------------------------------------------
+
+@query
+def op2_html_extraction(spark, folder):
+    pages = table(spark, folder, "pages")
+    return block_labeller.extract(pages, block_labeller.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 # -- 3 ----------------------------------------------------------------------
 
 @query
@@ -201,11 +209,14 @@ def op8_suffix_dedup(spark, folder):
 SQL["op8_suffix_dedup"] = """
 WITH texts AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+    SELECT doc_id, k, n, h[2000 * k + 1:2000 * k + 2198] AS part
+    FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(0, (len(h) // 2 + 999) // 1000)) AS k FROM texts)
 ), bytes AS (
-    SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM texts
+    SELECT doc_id, k, n, part, unnest(range(0, least(1000, n - 1000 * k))) AS i FROM blocks
 ), starts AS (
-    SELECT doc_id, p, h[2 * p + 1:2 * p + 2] AS b,
-           CASE WHEN len(h) // 2 - p >= 100 THEN md5(h[2 * p + 1:2 * p + 200]) END AS s
+    SELECT doc_id, 1000 * k + i AS p, part[2 * i + 1:2 * i + 2] AS b,
+           CASE WHEN n - 1000 * k - i >= 100 THEN md5(part[2 * i + 1:2 * i + 200]) END AS s
     FROM bytes
 ), ranked AS (
     SELECT doc_id, p, b, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS later FROM starts

@@ -150,11 +150,12 @@ def parts(docs: DataFrame, weight: Column, size: int) -> tuple[int, int]:
     return int(total), max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // size))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Columns chunk, doc_id, text; a document's rows share a chunk."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns chunk, doc_id, text and those to keep (keep_...); a document's rows share a chunk."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("long").alias("chunk"),
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        *(F.col(c).alias(f"keep_{c}") for c in keep))
 
 
 def in_order(table: pa.Table) -> pa.Table:

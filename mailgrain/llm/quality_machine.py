@@ -136,7 +136,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, metadata, keep=()) ->
     logs = [F.coalesce(F.when(F.col(c) >= 0, F.least(F.log1p(F.col(c).cast("double")) / 20, F.lit(1.0))), F.lit(-1.0))
             for c in metadata]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       F.array(*logs).cast("array<double>").alias("metadata"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+                       F.array(*logs).cast("array<double>").alias("metadata"), *(F.col(c).alias(f"keep_{c}") for c in keep if c != text_col))
 
 
 def by_slice(batch: pa.RecordBatch, width: int):
@@ -182,9 +182,9 @@ def train(
 
 def score(
     docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", metadata=("n_chars",),
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """doc_id and score (0 to 1) of every row, and the columns named in ``keep``.
+    """Score (0 to 1) of every row, after it the columns named in ``keep``.
 
     Null and empty texts are scored by their structure and metadata; null
     metadata has a feature of its own.  Rows that repeat an id are scored each.
@@ -197,11 +197,11 @@ def score(
         for batch in batches:
             for part, x in by_slice(batch, width):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(model.value.score(*x)), *(part.column(f"keep_{c}") for c in keep)],
-                    names=["doc_id", "score", *keep])
+                    [pa.array(model.value.score(*x)), *(part.column("text" if c == text_col else f"keep_{c}") for c in keep)],
+                    names=["score", *keep])
 
     fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return prepared(docs, id_col, text_col, metadata, keep).mapInArrow(run, f"doc_id long, score double{fields}")
+    return prepared(docs, id_col, text_col, metadata, keep).mapInArrow(run, f"score double{fields}")
 
 
 def held_out(id_: Column) -> Column:

@@ -182,7 +182,7 @@ def strings_of(data, found, closed, crowded, length):
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    chunk_bytes: int = CHUNK_BYTES, crowd: int = CROWD,
+    chunk_bytes: int = CHUNK_BYTES, crowd: int = CROWD, whole_characters: bool = False, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes): texts without repeated strings.
 
@@ -192,12 +192,14 @@ def remove_repeats(
 
     Null texts count as empty; texts shorter than ``length`` lose nothing.  Rows
     that repeat an id are ordered by text; rows without id come after all others.
-    What is kept may cut through a character, so it is binary.  Other columns are
-    ignored; an empty table gives no rows.
+    What is kept may cut through a character, so it is binary; with
+    ``whole_characters`` the rest of such characters is dropped from it (and only
+    from it).  Columns named in ``keep`` follow as they are, others are ignored; an
+    empty table gives no rows.
     """
     total, chunks = k.parts(docs, F.octet_length(F.col(text_col)), chunk_bytes)
     buckets = max(1, total // (4 * chunk_bytes))
-    dealt = k.chunked(docs, id_col, text_col, chunks)
+    dealt = k.chunked(docs, id_col, text_col, chunks, keep)
 
     def deal(bucket, *columns):
         """Rows by bucket: its number, how many, and each column's function of the chosen numbers."""
@@ -318,11 +320,14 @@ def remove_repeats(
         inner = bounds[:-1][bounds[:-1] < len(data)]
         edge[inner] = hit[inner]
         n_gone, n_spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[bounds]) for x in (hit, edge))
-        size = np.diff(bounds)
-        kept = k.texts_of(data[~hit], np.concatenate([[0], np.cumsum(size - n_gone)]))
+        if whole_characters and hit.any():
+            character = np.cumsum((data & 0xC0) != 0x80)
+            hit = np.bincount(character[hit], minlength=int(character[-1]) + 1)[character] > 0
+        kept = k.texts_of(data[~hit], np.concatenate([[0], np.cumsum(~hit)])[bounds])
         return pa.Table.from_arrays(
-            [table["doc_id"], pa.array(size), pa.array(n_gone), pa.array(n_spans),
-             kept.view(pa.large_binary()).cast(pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            [table["doc_id"], pa.array(np.diff(bounds)), pa.array(n_gone), pa.array(n_spans),
+             kept.view(pa.large_binary()).cast(pa.binary()), *(table[f"keep_{c}"] for c in keep)],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
     by_chunk = dealt.groupBy("chunk")
     judged = by_chunk.applyInArrow(
@@ -339,4 +344,5 @@ def remove_repeats(
         "chunk", *(F.lit(0).cast("long").alias(n) if n[0] == "n" else F.lit(None).cast("binary").alias(n)
                    for n in ("n_closed", "closed", "n_crowded", "crowded")), "n_starts", "starts"))
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(
-        clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(
+            f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep))
