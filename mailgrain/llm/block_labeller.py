@@ -156,8 +156,8 @@ def block_vectors(pages: list[list[tuple[str, int, int]]], paths: dict) -> np.nd
     bag = np.bincount(doc * WORDS + word, minlength=len(blocks) * WORDS).reshape(len(blocks), WORDS)
     ends = np.isin(data[stop - 1], np.frombuffer(b".!?", np.uint8)) if len(stop) else np.zeros(0, bool)
     sentence = np.bincount(doc, ends, minlength=len(blocks))
-    size = np.array([len(b[0]) for b in blocks])
-    count = np.array([len(p) for p in pages])
+    size = np.array([len(b[0]) for b in blocks], np.int64)
+    count = np.array([len(p) for p in pages], np.int64)
     place = np.arange(len(blocks)) - np.repeat(np.cumsum(count) - count, count)
     of = np.repeat(count, count)
     stats = np.stack([

@@ -104,7 +104,7 @@ def pack(
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_pack_order", length)) - 1
     return (
         rows.withColumn("_pack_number", number).join(sums, keys)
-        .withColumn("batch", F.floor(
-            (F.col("_pack_before") + F.col("_pack_number")) / F.greatest(F.floor(F.lit(budget) / F.col("bound")), F.lit(1))))
+        .withColumn("batch", F.when(F.col("bound").isNotNull(), F.floor(
+            (F.col("_pack_before") + F.col("_pack_number")) / F.greatest(F.floor(F.lit(budget) / F.col("bound")), F.lit(1)))))
         .withColumn("padding", F.coalesce(F.col("bound") - length, F.lit(0)))
         .drop("_pack_order", "_pack_range", "_pack_key", "_pack_before", "_pack_number"))

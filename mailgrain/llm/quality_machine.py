@@ -23,7 +23,8 @@ WORDS = 1 << 16
 LEVELS = 16
 FACTORS = 8
 SAMPLE = 8000
-EPOCHS = 6
+UPDATES = 750
+BATCH = 64
 SLICE_BYTES = 4 << 20
 THRESHOLD = 0.7
 # Byte classes: upper, lower, digit, white space, line end, bar, sentence end, other punctuation, not ASCII.
@@ -99,16 +100,17 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.parts(index, value, edge)[0].astype(np.float64), -30, 30)))
 
 
-def fit(index, value, edge, label, size: int, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.1, decay: float = 1e-4) -> Machine:
-    """Logistic loss, AdaGrad on batches in a fixed random order."""
+def fit(index, value, edge, label, size: int, updates: int = UPDATES, batch: int = BATCH, rate: float = 0.1, decay: float = 1e-4) -> Machine:
+    """Logistic loss, AdaGrad on so many batches in a fixed random order."""
     random = np.random.default_rng(7)
     m = Machine(0.0, np.zeros(size, np.float32), random.normal(0, 0.05, (size, FACTORS)).astype(np.float32))
     if not len(label):
         return m
     seen_w, seen_v, seen_b = np.full(size, 1e-3, np.float32), np.full((size, FACTORS), 1e-3, np.float32), 1e-3
-    for _ in range(epochs):
+    while updates > 0:
         order = random.permutation(len(label))
-        for at in range(0, len(order), batch):
+        for at in range(0, len(order), batch)[:updates]:
+            updates -= 1
             own = order[at: at + batch]
             n = edge[own + 1] - edge[own]
             cut = np.concatenate([[0], np.cumsum(n)])
@@ -152,7 +154,7 @@ def by_slice(batch: pa.RecordBatch, width: int):
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    metadata=("n_chars",), sample: int = SAMPLE, epochs: int = EPOCHS,
+    metadata=("n_chars",), sample: int = SAMPLE, updates: int = UPDATES,
 ) -> Machine:
     """A machine fitted on at most ``sample`` labelled documents, those with the smallest hash of their id."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
@@ -177,7 +179,7 @@ def train(
     value = np.frombuffer(b"".join(bytes(r["value"]) for r in got), np.float16).astype(np.float32)
     edge = np.concatenate([[0], np.cumsum([len(r["index"]) // 4 for r in got], dtype=np.int64)])
     label = np.array([r.label for r in got], np.float32)
-    return fit(index, value, edge, label, WORDS + (STATS + width) * (LEVELS + 1), epochs)
+    return fit(index, value, edge, label, WORDS + (STATS + width) * (LEVELS + 1), updates)
 
 
 def score(
