@@ -351,7 +351,7 @@ class Generator:
             return f"\1{text}\2"
 
         out = [f"<h1>{mark(self.some(2, 12))}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.randint(1, 14) if r.random() < 0.96 else r.randint(40, 120)):
             kind, close = r.random(), "</p>" if r.random() < 0.7 else ""
             if kind < 0.7:
                 text = self.prose()
@@ -373,6 +373,8 @@ class Generator:
 
     def page(self):
         r = self.r
+        if r.random() < 0.06:
+            return self.main()
         top = [self.menu()] if r.random() < 0.9 else []
         if r.random() < 0.5:
             top = [self.box("header", ("header", "masthead", "top"), f"<h2>{self.some(1, 3)}</h2>" + "".join(top))]
