@@ -74,9 +74,9 @@ def shingles(texts: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
-    """The parity sketch of each text: as many bits as shingles, up to the next power of two."""
+    """The parity sketch of each text: a power of two of bits, two to four times the shingles."""
     size = np.diff(edge)
-    bits = np.int64(1) << np.maximum(LEAST_BITS, np.frexp(size.astype(np.float64))[1])
+    bits = np.int64(1) << np.maximum(LEAST_BITS, np.frexp(size.astype(np.float64))[1] + 1)
     base = np.concatenate([[0], np.cumsum(bits)])
     spot = np.repeat(base[:-1], size) + (k.mix(value, 6) & np.repeat(bits - 1, size).astype(k.U)).astype(np.int64)
     spot, times = np.unique(spot, return_counts=True)
@@ -287,7 +287,7 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of different components within a piece that sizes and sketches allow.
+    """piece, a, b: pairs of different components within a piece that sizes and sketches allow.
 
     members: piece, size (of the piece), doc_id, root, n, sketch.  With ``forest``, only as many pairs as
     join the components of a piece if all of them are links; else every such pair.
@@ -320,14 +320,15 @@ def across(members: DataFrame, forest: bool) -> DataFrame:
                 root[np.isin(root, merged)] = root[i]
             out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
         pair = np.concatenate(out)
-        return pa.Table.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        return pa.Table.from_arrays([table["piece"].slice(0, 1).take(pa.array(np.zeros(len(pair), np.int64))),
+                                     pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["piece", "a", "b"])
 
     # Pieces with very many documents are cut into blocks, and every pair of blocks is a group of its own.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.groupBy("piece", F.least("own", "other"), F.greatest("own", "other")).applyInArrow(
-        run, "a long, b long").distinct()
+        run, "piece long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,18 +364,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select("doc_id")).distinct()
     sets = stored(sets_of(usable, wanted), "shingles")
     links = stored(verified(pairs, sets), "links")
+    roots = components(links).withColumnRenamed("node", "rep")
     for forest in (True, False):
-        roots = components(links).withColumnRenamed("node", "doc_id")
-        placed = stored(groups.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+        placed = stored(groups.join(roots.withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn(
+            "root", F.coalesce("root", "doc_id")), "placed")
         mixed = placed.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")
         ).where("low < high").select("piece", "size")
-        more = stored(across(
-            placed.join(mixed, "piece").join(sketched, "doc_id"), forest
-        ).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        links, pairs = stored(links.unionByName(verified(more, sets)), "links"), pairs.unionByName(more)
-    roots = components(links).withColumnRenamed("node", "rep")
+        allowed = stored(across(placed.join(mixed, "piece").join(sketched, "doc_id"), forest), "allowed")
+        more = stored(allowed.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        new = stored(verified(more, sets), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links).withColumnRenamed("node", "rep")
+        # A piece without an allowed pair has none later either, when fewer components are left.
+        pairs, groups = pairs.unionByName(more), groups.join(allowed.select("piece").distinct(), "piece", "left_semi")
 
     rep = facts.join(first, ["one", "two"], "left").join(roots, "rep", "left")
     return rep.select(
