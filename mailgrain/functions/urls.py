@@ -27,6 +27,15 @@ _HEX = r"0x0*[0-9a-f]{1,8}"
 _OCT = r"00*[0-7]{0,11}"
 _DEC = r"[1-9][0-9]{0,9}"
 _NUMBER = f"(?:{_HEX}|{_OCT}|{_DEC})"
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PAIR = "[0-9a-fA-F]{1,4}"
+_LAST = rf"(?:{_PAIR}:{_PAIR}|{_BYTE}(?:\.{_BYTE}){{3}})"
+# Eight groups; "::" stands for one or more missing ones, n of them before it.
+_IPV6 = "|".join([
+    f"(?:{_PAIR}:){{6}}{_LAST}",
+    *(f"(?:(?:{_PAIR}:){{0,{n - 1}}}{_PAIR})?::(?:{_PAIR}:){{{5 - n}}}{_LAST}" if n else f"::(?:{_PAIR}:){{5}}{_LAST}" for n in range(6)),
+    f"(?:(?:{_PAIR}:){{0,5}}{_PAIR})?::{_PAIR}", f"(?:(?:{_PAIR}:){{0,6}}{_PAIR})?::"])
+IPV6_FORM = rf"\A(?:(?:{_IPV6})(?:%[^%]+)?|v[a-fA-F0-9]+\..+)\z"
 IPV4_FORM = rf"\A{_NUMBER}(?:\.{_NUMBER}){{0,3}}\z"
 
 
@@ -72,11 +81,17 @@ _SCHEME = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?"
 _SPLIT = _SCHEME + r"(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?\z"
 
 
+def has_bad_brackets(netloc: Column) -> Column:
+    """Whether brackets in an authority are anything but one whole IPv6 (or future) literal as the host."""
+    inside = F.regexp_extract(netloc, r"\A(?:[^\[\]]*@)?\[([^\[\]]*)\](?::[^\[\]]*)?\z", 1)
+    return F.when(netloc.contains("[") | netloc.contains("]"), ~inside.rlike(IPV6_FORM)).otherwise(F.lit(False))
+
+
 def split_url(url: Column) -> UrlParts:
     """Split by the generic URI grammar; ``netloc`` keeps port and user info.
 
-    ``;params`` of the last path segment are split off.  An unbalanced bracket
-    in the authority marks the URL as malformed.
+    ``;params`` of the last path segment are split off.  Brackets in the
+    authority that are not one valid host literal mark the URL as malformed.
     """
     clean = F.regexp_replace(url, _CLEANED, "")
     part = lambda n: F.regexp_extract(clean, _SPLIT, n)
@@ -93,7 +108,7 @@ def split_url(url: Column) -> UrlParts:
         params=F.substr(full_path, F.length(path) + 2),
         query=part(4),
         fragment=part(5),
-        malformed=netloc.contains("[") != netloc.contains("]"),
+        malformed=has_bad_brackets(netloc),
     )
 
 

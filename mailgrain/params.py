@@ -178,7 +178,8 @@ class Params:
     test_fraction: float = 0.2
     seed: int = 42
     trees: int = 100
-    tree_depth: int = 10
+    tree_depth: int = 30  # the most that MLlib's trees allow
+    training_partitions: int | None = None  # None: as the training data comes
     max_iter: int = 1000
     smoothing_in_ensemble: float = 1.0
     smoothing_alone: float = 0.1

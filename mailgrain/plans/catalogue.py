@@ -20,7 +20,7 @@ from mailgrain.plans import views as v
 from mailgrain.plans.views import AS_OF, CHECK
 from mailgrain.sources import labelled_csv, mail
 from mailgrain.sources.store import HistoryStore
-from mailgrain.sources.workspace import cut_lineage, shared_folder
+from mailgrain.sources.workspace import shared_folder, stored
 from mailgrain.streaming.monitor import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,8 +132,8 @@ def distinct_urls(spark, folder):
 
 @query
 def url_parts(spark, folder):
-    parts = us.with_url_parts(v.probe_urls(spark, folder))
-    return parts.select("url", "scheme", "netloc", "host", "path", "query", "fragment", "malformed")
+    urls = v.probe_urls(spark, folder).unionByName(v.bracket_urls(spark, folder))
+    return us.with_url_parts(urls).select("url", "scheme", "netloc", "host", "path", "query", "fragment", "malformed")
 
 
 @query
@@ -235,10 +235,10 @@ def message_url_summary(spark, folder):
 
 @query
 def message_url_summary_joined(spark, folder):
-    facts = cut_lineage(risk.url_facts(v.messages(spark, folder), "content", CHECK))
-    reports = risk.url_reports(
+    facts = stored(risk.url_facts(v.messages(spark, folder), "content", CHECK), "facts")
+    reports = stored(risk.url_reports(
         us.distinct_urls(us.explode_urls(facts)), v.redirect_hops(spark, folder),
-        v.intel_reports(spark, folder), CHECK)
+        v.intel_reports(spark, folder), CHECK), "reports")
     return _summary_text(risk.summarise_urls(facts, reports, CHECK))
 
 
@@ -265,7 +265,7 @@ def unsubscribe_urls(spark, folder):
 
 @query
 def unsubscribe_plan(spark, folder):
-    offered = _offered(spark, folder)
+    offered = stored(_offered(spark, folder), "offered")
     judged = unsubscribe.judge_candidates(offered, v.outcomes(spark, folder), None, CHECK)
     return unsubscribe.plan_results(judged, offered)
 
@@ -350,7 +350,7 @@ def csv_labels(spark, folder):
     """Labelled documents written as CSV and read back as a training set."""
     path = shared_folder(spark, "labelled-csv")
     rows = v.labelled_texts(spark, folder)
-    label = F.when(F.col("doc_id") % 10 == 9, "junk").when(F.col("label") == 1, "spam").otherwise("ham")
+    label = F.when(F.col("doc_id") % 20 == 9, "junk").when(F.col("doc_id") % 20 == 19, "1").when(F.col("label") == 1, "spam").otherwise("ham")
     text = F.when(F.col("doc_id") % 10 != 8, F.col("text"))
     rows.select(label.alias("v1"), text.alias("v2"), F.col("doc_id").alias("note")).write.csv(
         path, header=True, quote='"', escape='"', quoteAll=True)

@@ -18,6 +18,8 @@ from mailgrain.functions import urls as ux
 
 TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = datetime(2024, 1, 31)
+SPREAD: int | None = None
+BRACKET_HOSTS = ("[::1]", "a[b].com", "me@[1:2::3]:80", "[x]", "[::ffff:1.2.3.4]", "[1.2.3.4]", "[v1.a]", "x.com][y.com", "[1:2:3:4:5:6:7:8]", "[::1]x")
 
 CHECK = replace(
     P.DEFAULTS,
@@ -39,15 +41,12 @@ CHECK = replace(
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; one that the scan cannot split over all cores is spread first.
+    """A whole table; with SPREAD set, text tables are dealt over that many tasks first.
 
-    A large table has more splits than cores, so this never shuffles one.
+    That is for measurements on one-file tables only: it shuffles the texts.
     """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    return rows.repartition(SPREAD) if SPREAD and name in TEXT_TABLES else rows
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,6 +100,13 @@ def probe_urls(spark: SparkSession, folder: str) -> DataFrame:
     return event.select(made.alias("url")).unionByName(page_urls(spark, folder))
 
 
+def bracket_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """One URL per event with a bracketed host, every second one valid."""
+    n = F.col("event_id")
+    host = F.element_at(F.array(*map(F.lit, BRACKET_HOSTS)), (n % len(BRACKET_HOSTS) + 1).cast("int"))
+    return table(spark, folder, "events").select(F.concat(F.lit("http://"), host, F.lit("/"), n.cast("string")).alias("url"))
+
+
 def redirect_hops(spark: SparkSession, folder: str) -> DataFrame:
     """Pages answer with the next page, a relative step, a loop, nothing, or 200."""
     page = table(spark, folder, "pages").select("page_id", "url")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 WAREHOUSE = "spark.sql.warehouse.dir"
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -15,9 +19,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
     Without that setting the folder lies under the session's warehouse, which
     the driver and the executors share as well; never in a machine's own
-    temporary folder.
+    temporary folder.  Inside :func:`scratch` it lies in that folder.
     """
-    root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    root = _FOLDER.get() or spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     root = root or f"{spark.conf.get(WAREHOUSE).rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -28,15 +32,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(rows: DataFrame) -> DataFrame:
-    """Materialise rows in the checkpoint folder, so later work does not repeat theirs.
-
-    The folder is the session's own; a session without one gets one.
-    """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
-    return rows.checkpoint()
+@contextmanager
+def scratch(spark: SparkSession, purpose: str) -> Iterator[None]:
+    """All that is stored inside goes into one folder, deleted at the end; no lazy result may outlive it."""
+    folder = shared_folder(spark, purpose)
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        remove_folder(spark, folder)
 
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:

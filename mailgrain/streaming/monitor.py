@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -15,7 +16,7 @@ from mailgrain.sources.store import HistoryStore
 
 
 def utc_now() -> datetime:
-    return datetime.now(UTC).replace(tzinfo=None)
+    return datetime.now(UTC)
 
 
 def monitor(
@@ -27,16 +28,26 @@ def monitor(
     model: SpamModel | None = None,
     params: Params = DEFAULTS,
     clock: Callable[[], datetime] = utc_now,
+    retries: int = 3,
+    retry_delay: float = 60.0,
 ) -> StreamingQuery:
     """Process every new message once, in batches; ``every=None`` drains and stops.
 
     Each micro-batch skips uids the history holds and writes its own partition
-    of the history, keyed by the batch number: after a failure the restarted
-    query repeats the batch and replaces what was written.
+    of the history, keyed by the batch number.  A batch that fails is repeated
+    after ``retry_delay`` seconds, ``retries`` times; it replaces what it wrote.
+    After that the query ends, and a restarted one repeats the batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch, store, batch_id, clock(), tables, model, params)
+        for attempt in range(retries + 1):
+            try:
+                run_batch(batch, store, batch_id, clock(), tables, model, params)
+                return
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(retry_delay)
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if every is None:

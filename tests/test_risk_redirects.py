@@ -1,12 +1,16 @@
 """Redirect chains, threat intel, overall risk, and the roll-up per message."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from mailgrain import params as P
 from mailgrain import schemas
-from mailgrain.operators import intel, redirects, risk
+from mailgrain.operators import intel, redirects, risk, unsubscribe
+from mailgrain.params import DEFAULTS
 from mailgrain.plans import reports
+from mailgrain.sources.workspace import stored
 
 HOPS = [
     ("http://end.org", 200, None),
@@ -56,11 +60,66 @@ def test_chains_match_a_walk(spark):
             assert r["final_url"] == want[1] and r["redirect_count"] == len(want[0]) - 1
 
 
-def test_filtered_hops_give_the_same_chains(spark, monkeypatch):
-    urls = ["http://n.org/0", "http://end.org", "https://s1.org"]
-    plain = {u: r.asDict() for u, r in chains(spark, urls).items()}
-    monkeypatch.setattr(redirects, "MANY_HOPS", 1)
-    assert {u: r.asDict() for u, r in chains(spark, urls).items()} == plain
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5, 7, 10])
+def test_every_hop_limit_matches_a_walk(spark, limit):
+    """Chains put together from longer pieces are those of a walk step by step."""
+    to = {i: (i * 7 + 3) % 40 if i % 5 else None for i in range(40)}
+    name = lambda i: f"http://w.org/{i}"
+    hops = spark.createDataFrame(
+        [(name(i), 301 if t is not None else 200, name(t) if t is not None else None) for i, t in to.items() if i % 11 != 6], schemas.HOPS)
+    urls = spark.createDataFrame([(name(i),) for i in range(40)], "url string")
+    got = redirects.follow_redirects(urls, hops, replace(DEFAULTS, max_redirects=limit)).collect()
+    assert len(got) == 40
+    for r in got:
+        at, walked, failed = int(r["url"].rpartition("/")[2]), [], False
+        for _ in range(limit):
+            if at % 11 == 6:
+                failed = True
+                break
+            walked.append(name(at))
+            if to[at] is None:
+                break
+            at = to[at]
+        assert ([s["url"] for s in r["chain"]], r["final_url"], r["error"]) == (walked, name(at), failed)
+
+
+def skew_splits(rows):
+    rows.write.format("noop").mode("overwrite").save()
+    rows.collect()
+    return rows._jdf.queryExecution().executedPlan().toString().count("skew=true")
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Settings under which a few thousand rows of one key count as skewed."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_hot_candidates_are_split(spark, small_partitions):
+    url = F.when(F.col("id") % 5 > 0, "http://hot.org/unsubscribe").otherwise(F.concat(F.lit("http://u.org/"), F.col("id").cast("string")))
+    messages = spark.range(0, 20000, 1, 8).select(F.col("id").cast("string").alias("uid"), F.array(url).alias("candidates"))
+    outcomes = messages.select(F.explode("candidates").alias("url")).distinct().withColumns(
+        {"status": F.lit(200), "error": F.lit(None).cast("string")})
+    judged = unsubscribe.judge_candidates(messages, outcomes)
+    assert skew_splits(judged) > 0
+    assert judged.where("success").count() == 20000
+
+
+def test_hot_urls_with_reports_are_split(spark, small_partitions):
+    url = F.when(F.col("id") % 5 > 0, "http://hot.org/x").otherwise(F.concat(F.lit("http://u.org/"), F.col("id").cast("string")))
+    facts = spark.range(0, 20000, 1, 8).select(F.col("id").cast("string").alias("uid"), F.array(url).alias("urls"), F.lit(0).alias("points"))
+    found = stored(risk.url_reports(facts.select(F.explode("urls").alias("url")).distinct()), "reports")
+    assert skew_splits(risk.summarise_urls(facts, found)) > 0
 
 
 def test_hot_targets_and_hot_urls(spark):
