@@ -418,9 +418,12 @@ def train(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
     given = []
     if pages is not None:
         html = F.col(html_col).cast("string")
-        rows = pages.where(html.isNotNull() & (F.length(html) < SAMPLE_CHARS)).select(
-            html.alias("html"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "html").limit(sample).collect()
-        given = [r.html for r in rows]
+        usable = pages.where(html.isNotNull() & (F.length(html) < SAMPLE_CHARS)).select(
+            F.col(id_col).cast("string").alias("id"), html.alias("html"))
+        chosen = usable.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample).select("id").distinct()
+        # At most ``sample`` ids are broadcast; repeated ids are cut to the sample.
+        rows = usable.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()
+        given = [r.html for r in sorted(rows, key=lambda r: r.id)]
     for blocks, labels, paths in (generated(GENERATED), sectioned(given)):
         rows = block_vectors(blocks, paths)
         edge = np.concatenate([[0], np.cumsum([len(b) for b in blocks], dtype=np.int64)])
