@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -497,6 +498,26 @@ def process_batch(spark, folder):
         "unsubscribe_successful", "url_count", "high_risk_urls")
 
 
+def _repeated_batch(spark, folder) -> HistoryStore:
+    """The store after one whole batch that ran on two days; the second run replaced the first."""
+    store = HistoryStore(spark, shared_folder(spark, "history"))
+    tables = process.Tables(
+        v.redirect_hops(spark, folder), v.intel_reports(spark, folder), v.outcomes(spark, folder))
+    for day in (AS_OF, AS_OF + timedelta(days=1)):
+        process.run_batch(v.messages(spark, folder), store, 0, day, tables, None, CHECK)
+    return store
+
+
+@query
+def stored_attempts(spark, folder):
+    return _repeated_batch(spark, folder).attempts().drop("attempt_date")
+
+
+@query
+def stored_sessions(spark, folder):
+    return _repeated_batch(spark, folder).sessions().drop("session_date", "processing_time", "batch_id")
+
+
 @query
 def stream_history(spark, folder):
     """All messages through the stream, written once more as repeats; equals one batch."""
