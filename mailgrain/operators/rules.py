@@ -100,19 +100,6 @@ def score_rules(
     })
 
 
-def rule_report(scored: DataFrame) -> Column:
-    """The rule result as one nested column."""
-    return F.struct(
-        F.col("rule_is_spam").alias("is_spam"),
-        F.col("rule_confidence").alias("confidence"),
-        F.col("rule_score").alias("spam_score"),
-        F.struct(
-            "spam_keywords", "ham_keywords", "suspicious_patterns",
-            "unsubscribe_patterns", "sender_reputation", "text_length",
-        ).alias("details"),
-    )
-
-
 def predict_by_rules(
     messages: DataFrame, text: str = "content", params: Params = DEFAULTS
 ) -> DataFrame:

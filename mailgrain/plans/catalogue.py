@@ -229,6 +229,24 @@ def url_report(spark, folder):
     return rows.withColumn("recommendations", joined(F.col("recommendations")))
 
 
+@query
+def url_verdict(spark, folder):
+    """Full verdicts with every lookup, their nested parts side by side."""
+    rows = reports.url_verdicts(
+        v.page_urls(spark, folder), v.redirect_hops(spark, folder), v.intel_reports(spark, folder), CHECK)
+    part = lambda column, field, name: F.col(f"{column}.{field}").alias(name)
+    return rows.select(
+        "url", part("structure_analysis", "domain", "domain"), part("structure_analysis", "suspicious_score", "structure_score"),
+        joined(F.col("structure_analysis.flags")).alias("structure_flags"),
+        part("phishing_check", "phishing_score", "phishing_score"), part("phishing_check", "risk_level", "phishing_level"),
+        joined(F.col("phishing_check.indicators")).alias("phishing_indicators"),
+        part("redirect_analysis", "redirect_count", "redirect_count"), part("redirect_analysis", "score", "redirect_score"),
+        joined(F.col("redirect_analysis.redirect_flags")).alias("redirect_flags"),
+        part("redirect_analysis", "final_url", "final_url"), part("threat_intel", "status", "intel_status"),
+        part("threat_intel", "risk_score", "intel_risk"), "overall_risk_score", "overall_risk_level",
+        joined(F.col("recommendations")).alias("recommendations"))
+
+
 @query
 def message_url_summary(spark, folder):
     return _summary_text(risk.summarise_messages(v.messages(spark, folder), params=CHECK))
