@@ -223,4 +223,4 @@ def test_labelled_csv(spark, tmp_path):
     assert sorted((r["label"], r["text"]) for r in chosen.collect()) == [
         (0, 'Hello, "you"\nthere'), (1, "Win")]
     balance = labelled.class_balance(chosen).first()
-    assert balance["samples"] == 3 and balance["spam_ratio"] == pytest.approx(2 / 3)
+    assert balance["samples"] == 2 and balance["spam_ratio"] == pytest.approx(1 / 2)
