@@ -38,6 +38,7 @@ SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BITS = 9
 BLOCK = 4096
+GROUP_ROWS = 50_000
 FULL, PAIRS, GROUPS = 8, 0, 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -286,49 +287,69 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     ).select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def allowed_pairs(ids, root, n, raw, forest: bool) -> np.ndarray:
+    """Pairs of one piece's documents, in the order of size; see :func:`across`."""
+    root = root.copy()
+    words = np.array([len(r) // 8 for r in raw])
+    kinds, low = np.unique(words, return_index=True)
+    high = [*low[1:], len(ids)]
+    blocks = [np.frombuffer(b"".join(raw[i:j]), k.U).reshape(j - i, -1) for i, j in zip(low, high)]
+    out = []
+    for i in range(len(ids)):
+        last = int(np.searchsorted(300 * n, 400 * n[i], "right"))
+        kind = int(np.searchsorted(kinds, words[i]))
+        mine = blocks[kind][i - low[kind]]
+        near = []
+        for c in range(kind, len(kinds)):
+            a, b = max(i + 1, low[c]), min(last, high[c])
+            if a < b:
+                j = a + np.flatnonzero(root[a:b] != root[i])
+                if len(j):
+                    near.append(j[hamming(blocks[c][j - low[c]], mine) <= distance(n[i], n[j])])
+        j = np.concatenate(near) if near else np.zeros(0, np.int64)
+        if forest and len(j):
+            merged, first = np.unique(root[j], return_index=True)
+            j = j[first]
+            root[np.isin(root, merged)] = root[i]
+        out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+    return np.concatenate(out)
+
+
 def across(members: DataFrame, forest: bool) -> DataFrame:
     """piece, a, b: pairs of different components within a piece that sizes and sketches allow.
 
-    members: piece, size (of the piece), doc_id, root, n, sketch.  With ``forest``, only as many pairs as
-    join the components of a piece if all of them are links; else every such pair.
+    members: piece, size and low (number of documents and smallest one of the
+    piece), doc_id, root, n, sketch.  With ``forest``, only as many pairs of a piece
+    as join its components if all of them are links; else every such pair, with
+    one of its pieces.
+
+    Pieces with the same smallest document, which mostly belong to one family, are
+    looked at together, so that a pair they share is given once.
     """
     def run(table):
-        ids, root, n = (k.one_array(table[c]).to_numpy().copy() for c in ("doc_id", "root", "n"))
-        order = np.lexsort((ids, n))
-        ids, root, n = ids[order], root[order], n[order]
-        raw = [table["sketch"][int(i)].as_py() for i in order]
-        words = np.array([len(r) // 8 for r in raw])
-        kinds, low = np.unique(words, return_index=True)
-        high = [*low[1:], len(ids)]
-        blocks = [np.frombuffer(b"".join(raw[i:j]), k.U).reshape(j - i, -1) for i, j in zip(low, high)]
-        out = []
-        for i in range(len(ids)):
-            last = int(np.searchsorted(300 * n, 400 * n[i], "right"))
-            kind = int(np.searchsorted(kinds, words[i]))
-            mine = blocks[kind][i - low[kind]]
-            near = []
-            for c in range(kind, len(kinds)):
-                a, b = max(i + 1, low[c]), min(last, high[c])
-                if a < b:
-                    j = a + np.flatnonzero(root[a:b] != root[i])
-                    if len(j):
-                        near.append(j[hamming(blocks[c][j - low[c]], mine) <= distance(n[i], n[j])])
-            j = np.concatenate(near) if near else np.zeros(0, np.int64)
-            if forest and len(j):
-                merged, first = np.unique(root[j], return_index=True)
-                j = j[first]
-                root[np.isin(root, merged)] = root[i]
-            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        pair = np.concatenate(out)
-        return pa.Table.from_arrays([table["piece"].slice(0, 1).take(pa.array(np.zeros(len(pair), np.int64))),
-                                     pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["piece", "a", "b"])
-
-    # Pieces with very many documents are cut into blocks, and every pair of blocks is a group of its own.
+        piece, ids, root, n = (k.one_array(table[c]).to_numpy() for c in ("piece", "doc_id", "root", "n"))
+        order = np.lexsort((ids, n, piece))
+        piece, ids, root, n = piece[order], ids[order], root[order], n[order]
+        raw = table["sketch"].take(pa.array(order)).to_pylist()
+        cut = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        found = [(p, allowed_pairs(ids[i:j], root[i:j], n[i:j], raw[i:j], forest))
+                 for p, i, j in zip(piece[cut], cut, [*cut[1:], len(piece)])]
+        of = np.repeat(piece[cut], [len(x) for _, x in found])
+        pair = np.concatenate([x for _, x in found])
+        if not forest:
+            pair, first = np.unique(pair, axis=0, return_index=True)
+            of = of[first]
+        return pa.Table.from_arrays([pa.array(of), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["piece", "a", "b"])
+
+    # Pieces with very many documents are cut into blocks, and every pair of blocks is dealt by itself.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.groupBy("piece", F.least("own", "other"), F.greatest("own", "other")).applyInArrow(
-        run, "piece long, a long, b long")
+    parts = members.groupBy("low").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
+    dealt = members.join(parts, "low").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.groupBy(
+        "low", F.pmod(F.xxhash64("piece"), F.col("parts")), F.least("own", "other"), F.greatest("own", "other")
+    ).applyInArrow(run, "piece long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,8 +389,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for forest in (True, False):
         placed = stored(groups.join(roots.withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn(
             "root", F.coalesce("root", "doc_id")), "placed")
-        mixed = placed.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")
-        ).where("low < high").select("piece", "size")
+        mixed = placed.groupBy("piece").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                            F.min("doc_id").alias("first"), F.count("*").alias("size")
+        ).where("low < high").select("piece", "size", F.col("first").alias("low"))
         allowed = stored(across(placed.join(mixed, "piece").join(sketched, "doc_id"), forest), "allowed")
         more = stored(allowed.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         new = stored(verified(more, sets), "links")

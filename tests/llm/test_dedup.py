@@ -87,8 +87,8 @@ def test_blocks_of_a_large_piece_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "BLOCK", 3)
     value = np.sort(np.arange(1, 41, dtype=np.uint64))
     sketch = parity_join.sketches(value, np.array([0, 40]))[0]
-    rows = spark.createDataFrame([(1, 10, i, i, 40, sketch) for i in range(10)],
-                                 "piece long, size long, doc_id long, root long, n long, sketch binary")
+    rows = spark.createDataFrame([(p, 10, 0, i, i, 40, sketch) for i in range(10) for p in (1, 2)],
+                                 "piece long, size long, low long, doc_id long, root long, n long, sketch binary")
     assert {(r.a, r.b) for r in parity_join.across(rows, False).collect()} == {(i, j) for j in range(10) for i in range(j)}
     assert parity_join.across(rows, True).count() >= 9
 
