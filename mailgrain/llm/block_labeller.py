@@ -34,8 +34,14 @@ SLICE_BYTES = 4 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr img".split())
-DROPPED = frozenset("script style noscript template svg math title iframe object canvas audio video head".split())
+    "strike strong sub sup time tt u var wbr img math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder "
+    "munderover mstyle mspace mpadded mphantom menclose semantics".split())
+# Parts of their own that may stand inside a paragraph.
+EMBEDDED = frozenset("svg object canvas iframe audio video noscript mtable mtr mtd annotation".split())
+# What no reader sees as text; a title counts only outside a drawing, where it names the page.
+DROPPED = frozenset("script style template title".split())
+# Start tags that leave an open head open.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 CLOSES_ITSELF = frozenset("p li dt dd option tr td th".split())
 OTHER_PARTS = frozenset("nav header footer aside form menu".split())
 
@@ -58,28 +64,33 @@ class Reader(HTMLParser):
         self.linked = 0
 
     def push(self, tag, token):
-        self.stack.append((tag, self.path))
+        dropped = tag in DROPPED and not (tag == "title" and self.open.get("svg"))
+        self.stack.append((tag, self.path, dropped))
         self.open[tag] = self.open.get(tag, 0) + 1
         if token is not None:
             self.path = self.paths.setdefault((self.path, token), len(self.paths) + 1)
-        self.dropped += tag in DROPPED
+        self.dropped += dropped
         self.links += tag == "a"
 
     def pop(self):
-        tag, self.path = self.stack.pop()
+        tag, self.path, dropped = self.stack.pop()
         self.open[tag] -= 1
-        self.dropped -= tag in DROPPED
+        self.dropped -= dropped
         self.links -= tag == "a"
         return tag
 
     def handle_starttag(self, tag, attrs):
         inline = tag in INLINE
+        # HTML allows to leave </head> out: what cannot be in a head ends it, with an open title unless the tag is inline.
+        if self.open.get("head") and tag not in IN_HEAD and not self.open.get("template") and not (inline and self.open.get("title")):
+            self.handle_endtag("head")
         if not inline:
             self.flush()
+        if not inline and tag not in EMBEDDED:
             # A block inside an open paragraph, and a second item of a list, end the first.
             for own in ("p", tag) if tag in CLOSES_ITSELF else ("p",):
                 if self.open.get(own):
-                    depth = next((d for d, (t, _) in enumerate(reversed(self.stack)) if t not in INLINE), None)
+                    depth = next((d for d, (t, *_) in enumerate(reversed(self.stack)) if t not in INLINE), None)
                     if depth is not None and self.stack[-1 - depth][0] == own:
                         for _ in range(depth + 1):
                             self.pop()
@@ -100,6 +111,8 @@ class Reader(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
+            if self.open.get("head") and data.strip():
+                self.handle_endtag("head")
             self.text.append(data)
             if self.links:
                 self.linked += len(data)
@@ -344,6 +357,24 @@ class Generator:
             f'<div class="{r.choice(("comment", "reply", "post-comment", "c"))}"><b>{self.some(1, 2)}</b><p>{self.prose()}</p></div>'
             for _ in range(r.randint(1, 6))))
 
+    def fallback(self):
+        """Embedded parts outside the main text."""
+        r = self.r
+        text = r.choice(("Please enable JavaScript", "Your browser does not support this", self.some(1, 8))) + r.choice((".", ""))
+        return r.choice((
+            f"<noscript>{text}</noscript>", f"<noscript><p>{text}</p></noscript>", f"<iframe src=/x>{text}</iframe>",
+            f"<video src=/v>{text}</video>", f'<object data=/o><p>{text}</p></object>',
+            f'<a href="/"><svg><title>{self.some(1, 2)}</title><path d="M0 0"/></svg></a>', f"<canvas>{text}</canvas>"))
+
+    def embedded(self, mark):
+        """Embedded parts of the main text."""
+        some = self.some
+        return self.r.choice((
+            f"<noscript><p>{mark(self.prose())}</p></noscript>", f"<noscript>{mark(self.prose())}</noscript>",
+            f"<object data=/o><p>{mark(self.prose())}</p></object>", f"<p>{mark(self.prose())}<canvas>{mark(some(2, 9))}</canvas>{mark(self.prose())}</p>",
+            f"<svg><title>{mark(some(1, 4))}</title><text>{mark(some(1, 5))}</text></svg>",
+            f"<p>{mark(f'{some(2, 9)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {some(2, 9)}.')}</p>"))
+
     def main(self):
         r = self.r
 
@@ -366,6 +397,8 @@ class Generator:
                 out.append("<table>" + "".join(f"<tr><td>{mark(self.some(1, 3))}<td>{mark(self.some(1, 3))}" for _ in range(r.randint(1, 4))) + "</table>")
             elif r.random() < 0.5:
                 out.append(self.extra())
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            out.insert(r.choice((r.randint(0, len(out)), len(out))), self.embedded(mark))
         tag, names = r.choice((("article", ""), ("article", ' class="post"'), ("main", ""), (
             "div", f' class="{r.choice(("content", "post", "entry", "article", "story", "text", "body", "main"))}{r.choice(("", "-body", "-content"))}"'),
             ("div", f' id="{r.choice(("content", "main", "article"))}"')))
@@ -383,7 +416,14 @@ class Generator:
         foot = [self.box("footer", ("footer", "bottom", "copyright", "legal"), f"&copy; {self.some(1, 2)} &middot; {self.prose()}" + (
             self.link() if r.random() < 0.5 else ""))] if r.random() < 0.9 else []
         end = "</body></html>" if r.random() < 0.8 else ""
-        return f"<html><head><title>{self.some(2, 6)}</title></head><body>{''.join([*top, *before, self.main(), *after, *foot])}{end}"
+        for part in (top, before, after):
+            if r.random() < 0.1:
+                part.insert(r.randint(0, len(part)), self.fallback())
+        title = f"<title>{self.some(2, 6)}</title>"
+        start = f"<html><head>{title}</head><body>" if r.random() < 0.6 else r.choice((
+            f"<html><head>{title}<body>", f"<html><head>{title}", f"<head><meta charset=utf-8>{title}<style>p{{}}</style><body>",
+            f"<html>{title}<body>", title))
+        return f"{start}{''.join([*top, *before, self.main(), *after, *foot])}{end}"
 
 
 def generated(n: int, seed: int = 1):

@@ -170,6 +170,40 @@ def test_page_extraction(spark, labeller):
     assert block_labeller.extract(pages.limit(0), labeller).collect() == []
 
 
+ARTICLE = "<article><h1>Fish soup</h1><p>One long sentence about food.<p>Two is moreover here.{}</article><footer>&copy; me</footer>"
+
+
+def test_pages_without_end_of_head(spark, labeller):
+    """</head>, <body> and <html> may be left out; nothing of the article is lost by it."""
+    starts = ["<html><head><title>no</title><body>", "<html><head><title>no</title>", "<head><meta charset=utf-8><title>no</title><style>p{}</style>",
+              "<title>no</title>", "<html><head><title>no</title><noscript><img src=/t></noscript><script>x</script><body>",
+              "<html><head><title>no<body>", "<html><head><template><p>no</p></template><title>no <b>x</b></title></head><body>"]
+    pages = spark.createDataFrame([(i, "u", x + ARTICLE.format("")) for i, x in enumerate(starts)], "page_id long, url string, html string")
+    got = block_labeller.extract(pages, labeller).collect()
+    assert [r.text for r in sorted(got)] == ["Fish soup One long sentence about food. Two is moreover here."] * len(starts)
+    assert block_labeller.read_page("<html><head><title>t</title>Bare text", {}) == [("Bare text", 1, 0)]
+
+
+def test_embedded_parts_are_classified(spark, labeller):
+    """Text of embedded parts is a block like any other; only what is not content never gets to the labeller."""
+    parts = ["<noscript><p>Three words of prose for everyone.</p></noscript>", "<object data=/o><p>Three words of prose for everyone.</p></object>",
+             "<p>Three <math><mi>words</mi></math> of prose for everyone.</p>"]
+    pages = spark.createDataFrame([(i, "u", f"<html><body>{ARTICLE.format(x)}") for i, x in enumerate(parts)], "page_id long, url string, html string")
+    got = block_labeller.extract(pages, labeller).collect()
+    assert [r.text for r in sorted(got)] == [
+        "Fish soup One long sentence about food. Two is moreover here. Three words of prose for everyone."] * len(parts)
+
+    def blocks(html):
+        return [b[0] for b in block_labeller.read_page(html, {})]
+
+    assert blocks("<p>a<svg><title>b</title><text>c</text></svg>d<canvas>e</canvas>f<iframe>g</iframe>") == list("abcdefg")
+    assert blocks("<p>H<math><msub><mi></mi><mn>2</mn></msub></math>O <p>x") == ["H2O", "x"]
+    assert blocks("<style>a</style><script>b</script><template><p>c</template><title>d</title>e") == ["e"]
+    paths = {}
+    same = block_labeller.read_page("<p>a<noscript>b</noscript>c", paths)
+    assert same[0][1] == same[2][1] != same[1][1]
+
+
 def test_labeller_on_unseen_layouts(labeller):
     pages, labels, paths = block_labeller.generated(200, seed=77)
     rows = block_labeller.block_vectors(pages, paths)
