@@ -97,6 +97,30 @@ def test_best_bounds():
             padding([*s, length[-1]]) for k in range(min(most, n)) for s in itertools.combinations(length[:-1], k))
 
 
+def least_padding(lengths, most):
+    """The least padding in at most so many buckets, by trying every last bucket of every prefix."""
+    own, cost = sorted(lengths), {0: 0}
+    for _ in range(most):
+        cost = {j: min((cost[i] + sum(own[j - 1] - v for v in own[i:j]) for i in range(j) if i in cost), default=0) if j else 0
+                for j in range(len(own) + 1)}
+    return cost[len(own)]
+
+
+def test_long_documents_have_least_padding(spark):
+    """Bounds are lengths of documents also from 64 words up, and padding is the exact optimum."""
+    def packed(lengths, buckets):
+        docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+        return length_buckets.pack(docs, buckets=buckets).collect()
+
+    assert {(x.bound, x.padding) for x in packed([1000] * 30, 16)} == {(1000, 0)}
+    r = random.Random(4)
+    for low, high, buckets in ((65, 200, 3), (1000, 1100, 4), (65, 20_000, 5)):
+        lengths = [r.randint(low, high) for _ in range(60)]
+        got = packed(lengths, buckets)
+        assert sum(x.padding for x in got) == least_padding(lengths, buckets)
+        assert {x.bound for x in got} <= set(lengths) and len({x.bound for x in got}) <= buckets
+
+
 def test_packing(spark):
     r = random.Random(2)
     rows = [(i % 290, r.choice([1, 3, 7, 64, 65, 100, 1000])) for i in range(300)] + [(None, 5), (400, None), (401, 0), (402, 10**6)]
