@@ -13,15 +13,11 @@ from mailgrain.llm import curriculum, length_buckets, parity_join, quality_machi
 from mailgrain.llm.catalogue import n_words
 from mailgrain.sources.workspace import stored
 
-#: Documents whose quality scores less are rejected.
-REJECTED_BELOW = 0.5
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality_machine.held_out(F.col("doc_id")))
     scored = quality_machine.score(docs, quality_machine.train(docs, labels), keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= REJECTED_BELOW).select(*docs.columns)
+    return scored.where(F.col("score") >= quality_machine.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

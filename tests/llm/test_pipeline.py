@@ -49,6 +49,16 @@ def test_stages(spark, steps):
     assert all(r.bound >= r.length for r in packed if r.length)
 
 
+def test_quality_stage_keeps_what_the_classifier_predicts(spark, monkeypatch):
+    from mailgrain.llm import quality_machine
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality_machine, "train", lambda *a: None)
+    monkeypatch.setattr(quality_machine, "score", lambda docs, model, keep: docs.withColumn("score", F.col("doc_id") / 10))
+    docs = spark.range(11).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit(1).cast("long").alias("n_chars"))
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == [7, 8, 9, 10]
+
+
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "length", "bucket", "bound", "padding").collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.length, r.bucket, r.bound, r.padding) for r in steps[-1][1])
