@@ -6,18 +6,25 @@ written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrain.llm import curriculum, length_buckets, parity_join, quality_machine, suffix_dedup
 from mailgrain.llm.catalogue import n_words
 from mailgrain.sources.workspace import stored
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """Documents whose columns other than the needed ones have names that no operator uses, and the way back."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality_machine.held_out(F.col("doc_id")))
+    docs, own = shielded(docs, "doc_id", "text", "n_chars")
     scored = quality_machine.score(docs, quality_machine.train(docs, labels), keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= quality_machine.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("score") >= quality_machine.THRESHOLD).select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +36,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that start earlier, cut at whole characters."""
+    docs, own = shielded(docs, "doc_id", "text", "n_chars")
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     rows = suffix_dedup.remove_repeats(docs, whole_characters=True, keep=others)
     text = F.col("kept").cast("string")
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for, in training order."""
+    docs, own = shielded(docs, "doc_id", "text", "source")
     mixed = curriculum.mix(docs.withColumn("_size", n_words("text")), "_size")
-    return curriculum.training_order(mixed).select(*docs.columns)
+    return curriculum.training_order(mixed).select(*own)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,22 @@ def test_quality_stage_keeps_what_the_classifier_predicts(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()) == [7, 8, 9, 10]
 
 
+def test_columns_of_the_operators_names(spark, steps):
+    """Columns that are named like those of an operator come through each stage with their own values."""
+    from pyspark.sql import functions as F
+
+    names = ("score", "kept", "n_bytes", "n_removed", "n_spans", "source_size", "target", "copies", "taken", "positions", "position",
+             "_size", "size", "metadata", "label", "chunk", "n", "component_id", "one", "Schedule")
+    for (_, stage), (columns, rows), (_, want) in zip(corpus_pipeline.STAGES[:-1], steps, steps[1:]):
+        docs = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+        more = docs.select(*(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names), *docs.columns)
+        got = stage(spark, more, SF)
+        assert got.columns == more.columns
+        got = got.collect()
+        assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(map(tuple, want))
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "length", "bucket", "bound", "padding").collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.length, r.bucket, r.bound, r.padding) for r in steps[-1][1])
