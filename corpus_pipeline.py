@@ -6,7 +6,7 @@ written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailgrain.llm import curriculum, length_buckets, parity_join, quality_machine, suffix_dedup
@@ -51,9 +51,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket and batch of every copy of a document."""
-    sized = stored(docs.select("doc_id", n_words("text").alias("length")), "lengths")
-    return length_buckets.pack(sized).select("doc_id", "length", "bucket", "bound", "batch", "padding")
+    """Bucket and batch of every copy of a document, which are dealt apart from each other."""
+    copy = F.row_number().over(Window.partitionBy("doc_id", "length").orderBy("length"))
+    sized = docs.select("doc_id", n_words("text").alias("length")).withColumn("copy", F.concat_ws(":", "doc_id", copy))
+    return length_buckets.pack(stored(sized, "lengths"), id_col="copy").select("doc_id", "length", "bucket", "bound", "batch", "padding")
 
 
 STAGES = [

@@ -75,6 +75,16 @@ def test_columns_of_the_operators_names(spark, steps):
         assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
 
 
+def test_copies_are_packed_apart(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.length_buckets.pack, "__defaults__", (
+        *corpus_pipeline.length_buckets.pack.__defaults__[:3], 80, 50))
+    docs = spark.createDataFrame([(i % 100, "a b c d") for i in range(300)] + [(None, "a b c d")] * 3, "doc_id long, text string")
+    got = corpus_pipeline.pack_documents(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*range(100)] * 3 + [None] * 3)
+    together = Counter((r.doc_id, r.batch) for r in got)
+    assert max(Counter(r.batch for r in got).values()) == 20 and sum(n - 1 for n in together.values()) <= 50
+
+
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "length", "bucket", "bound", "padding").collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.length, r.bucket, r.bound, r.padding) for r in steps[-1][1])
