@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgrain.llm import (
-    block_labeller, curriculum, length_buckets, parity_join, quality_machine, suffix_dedup, token_trees, topk_search, weighted_sampling,
-    window_dedup,
+    bit_planes, block_labeller, curriculum, large_item_packing, length_buckets, pair_bounds, parity_join, quality_machine, suffix_dedup,
+    token_trees, topk_search, weighted_sampling, window_dedup,
 )
 from mailgrain.sources.workspace import stored
 
@@ -280,3 +280,102 @@ def op10_packing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", n_words("text").alias("length"))
     return length_buckets.pack(stored(docs, "lengths")).select(
         "doc_id", "length", "bucket", "bound", "batch", "padding")
+
+
+# -- 11 ---------------------------------------------------------------------
+
+@query
+def op11_clusters(spark, folder):
+    members, centroids = bit_planes.cluster(table(spark, folder, "embeddings"))
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return members.join(centroids.select("cluster", "cluster_inertia", "inertia", digest), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def clusters_sql(clusters: int = bit_planes.CLUSTERS, rounds: int = bit_planes.ROUNDS) -> str:
+    """One pair of steps a round: nearest centroids, then floors of means (empty clusters keep their centroid)."""
+    steps = [rf"""
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c
+    FROM (SELECT v, sha256('2:' || vec_id) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT {clusters})
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+, a{r} AS (
+    SELECT vec_id, v, cluster, distance FROM (
+        SELECT vec_id, v, cluster, distance, row_number() OVER (PARTITION BY n ORDER BY distance, cluster) AS place FROM (
+            SELECT n, vec_id, v, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))
+                   AS BIGINT) AS distance
+            FROM (SELECT *, row_number() OVER () AS n FROM kept) CROSS JOIN c{r}
+        )
+    ) WHERE place = 1
+)""")
+        if r < rounds:
+            steps.append(f"""
+, m{r} AS (
+    SELECT cluster, list(m ORDER BY i) AS c FROM (
+        SELECT cluster, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+        FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i
+    ) GROUP BY cluster
+), c{r + 1} AS (
+    SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster)
+)""")
+    return "".join(steps) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)
+"""
+
+
+SQL["op11_clusters"] = clusters_sql()
+
+
+# -- 12 ---------------------------------------------------------------------
+
+@query
+def op12_large_item_packing(spark, folder):
+    return large_item_packing.pack(
+        table(spark, folder, "documents").select("doc_id", "text"), keep={"ids_crc32": F.crc32("ids")}
+    ).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# -- 13 ---------------------------------------------------------------------
+
+@query
+def op13_ranked_search(spark, folder):
+    lists = pair_bounds.index(table(spark, folder, "documents").select("doc_id", "text"))
+    return pair_bounds.search(lists, table(spark, folder, "benchmark"))
+
+
+SQL["op13_ranked_search"] = r"""
+WITH found AS (
+    SELECT doc_id, t, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT doc_id, text, row_number() OVER () AS t FROM documents)
+), postings AS (
+    SELECT doc_id, t, term, count(*) AS tf FROM found GROUP BY ALL
+), sizes AS (
+    SELECT t, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY t
+), whole AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), scaled AS (
+    SELECT t, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes CROSS JOIN whole
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM postings CROSS JOIN whole GROUP BY term, n_docs
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT item_id, max(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN scaled USING (t) GROUP BY item_id, t, doc_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
