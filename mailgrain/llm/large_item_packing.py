@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,37 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 SLICE_BYTES = 4 << 20
-MEMO_TOKENS = 2_000_000
+MEMO_TOKENS = 1_000_000
+BYTES = np.arange(256)
+DIGITS = (BYTES >= 48) & (BYTES <= 57)
+CAPITALS = (BYTES >= 65) & (BYTES <= 90)
+LETTERS = CAPITALS | (BYTES >= 97) & (BYTES <= 122)
+MARKS = (BYTES > 32) & (BYTES < 127) & ~DIGITS & ~LETTERS
 
 
 # -- tokens ----------------------------------------------------------------
 
+def breaks(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII mark follows a letter or digit (ASCII or Latin-1): words may be split there as well.
+
+    Not before a vertical bar, which is inside the vocabulary's special tokens.
+    """
+    before = (LETTERS | DIGITS)[data]
+    before[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    return np.flatnonzero(before[:-1] & MARKS[data[1:]] & (data[1:] != ord("|"))) + 1
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII capitals in lower case, if no combining mark may join one and no special token's look-alike may become one."""
+    if ((data == 0xCC) | (data == 0xCD)).any() or ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any():
+        return data
+    return data + CAPITALS[data] * np.uint8(32)
+
+
 class Encoder:
-    """Token ids of texts for vocabularies that never join what white space separates.
+    """Token ids of texts for a vocabulary in lower case that splits at white space, and between letters and marks.
 
-    Each different word is encoded once and remembered (until the memory is full).
+    Each different part of a word is encoded once and remembered (until the memory is full).
     """
 
     def __init__(self, vocabulary: str, end: int):
@@ -75,13 +98,16 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the n + 1 boundaries."""
         data, bounds = utf8(texts)
-        start, stop, first = words_of(data, bounds)
+        start, stop, _ = words_of(data, bounds)
+        data = lowered(data)
+        cuts = np.setdiff1d(breaks(data), bounds)
+        start, stop = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([stop, cuts]))
+        first = np.searchsorted(start, bounds)
         inside = np.zeros(len(data) + 1, np.int8)
         inside[start] = 1
         inside[stop] -= 1
         letters = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         edge = np.concatenate([[0], np.cumsum(stop - start)])
-        # A word that follows another's end at once begins a new text.
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(letters))])
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -115,10 +141,12 @@ def slices(batch: pa.RecordBatch, text_col: str):
 def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, end: int) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of all pieces."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(spark.read.text(vocabulary, wholetext=True).first().value)
+    model = spark.sparkContext.broadcast({"vocabulary": spark.read.text(vocabulary, wholetext=True).first().value})
 
     def run(batches):
-        encoder = Encoder(model.value, end)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # A worker's copy of the broadcast outlives a task, and so does what it remembers.
+        encoder = model.value.get("encoder") or model.value.setdefault("encoder", Encoder(model.value["vocabulary"], end))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = encoder.encode(part.column("text"))

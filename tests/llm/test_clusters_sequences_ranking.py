@@ -109,6 +109,19 @@ def test_words_encode_like_whole_texts(vocabulary):
         encoder.clear()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_of_words_encode_like_whole_texts(vocabulary, seed):
+    from tokenizers import Tokenizer
+
+    whole, r = Tokenizer.from_str(vocabulary), random.Random(seed)
+    letters = ["a", "J", "S", "s", "t", "ll", "ñ", "Ñ", "×", "÷", "1", "9", ",", ".", "'", "—", "…", "-", "|", "<", ">", " ", "\n", "\u00a0", "漢", "İ", "Σ"]
+    letters += {0: [], 1: ["\u030c", "\u0301"], 2: ["<|endoftext|>", "<|ENDOFTEXT|>"]}[seed % 3]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 25))) for _ in range(1500)]
+    ids, bounds = large_item_packing.Encoder(vocabulary, 0).encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids + [0], text
+
+
 def placed(counts, capacity):
     """Sequences as lists of (offset, length), after checking that every piece is there once."""
     plan = large_item_packing.Plan(counts, capacity)
