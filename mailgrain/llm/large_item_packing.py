@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
 SLICE_BYTES = 4 << 20
-MEMO_TOKENS = 1_000_000
+MEMO_TOKENS = 4_000_000
 BYTES = np.arange(256)
 DIGITS = (BYTES >= 48) & (BYTES <= 57)
 CAPITALS = (BYTES >= 65) & (BYTES <= 90)
@@ -100,7 +100,10 @@ class Encoder:
         data, bounds = utf8(texts)
         start, stop, _ = words_of(data, bounds)
         data = lowered(data)
-        cuts = np.setdiff1d(breaks(data), bounds)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True
+        cuts = breaks(data)
+        cuts = cuts[~edge[cuts]]
         start, stop = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([stop, cuts]))
         first = np.searchsorted(start, bounds)
         inside = np.zeros(len(data) + 1, np.int8)
