@@ -330,6 +330,35 @@ def upsert_history(spark, folder):
         "is_spam", "spam_confidence", "url_count")
 
 
+def _dated_batches(spark, folder, rows: DataFrame) -> HistoryStore:
+    """A store with the rows in three batches by date, the first two merged before the third came."""
+    store = HistoryStore(spark, shared_folder(spark, "history"))
+    days = [F.lit(d).cast("timestamp") for d in ("2024-01-10", "2024-01-20")]
+    when = F.col("processed_date")
+    for number, chosen in enumerate((when < days[0], (when >= days[0]) & (when < days[1]), when >= days[1])):
+        store.write("processed_emails", history.latest(rows.where(chosen), "uid", ("processed_date",)), number)
+        if number == 1:
+            store.compact(1)
+    return store
+
+
+@query
+def unprocessed_indexed(spark, folder):
+    """As above, with the history in a store: its merged uids and those of the last batch are looked up by bucket."""
+    store = _dated_batches(spark, folder, v.processed(spark, folder).where("is_spam"))
+    batch = v.mailbox(spark, folder)
+    return history.unprocessed(batch, store.known_among(batch)).select("uid", "seq")
+
+
+@query
+def upsert_history_compacted(spark, folder):
+    """History keyed by sender and type, read from a base of two batches and a newer one."""
+    keyed = v.processed(spark, folder).withColumn("uid", F.concat_ws("/", "sender", "subject"))
+    return _dated_batches(spark, folder, keyed).processed().select(
+        "uid", F.date_format("processed_date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("processed_date"),
+        "is_spam", "spam_confidence", "url_count")
+
+
 @query
 def message_attempts(spark, folder):
     rows = history.with_attempts(v.processed(spark, folder), v.attempts(spark, folder))

@@ -26,10 +26,44 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, whichever that is."""
+    located = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return located, located.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that this job made, on whatever file system it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a folder that this job made."""
+    path, files = _located(spark, folder)
+    files.delete(path, True)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    path, files = _located(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+
+def read_file(spark: SparkSession, file: str) -> str:
+    """A small text file."""
+    path, files = _located(spark, file)
+    opened = files.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+    finally:
+        opened.close()
+
+
+def publish(spark: SparkSession, file: str, text: str) -> None:
+    """Create a small file that readers see whole or not at all; FileExistsError if it is there."""
+    path, files = _located(spark, file)
+    part, _ = _located(spark, f"{file}.{uuid.uuid4().hex}.part")
+    out = files.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(path) or not files.rename(part, path):
+        files.delete(part, False)
+        raise FileExistsError(file)
 
 
 @contextmanager

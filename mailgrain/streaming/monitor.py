@@ -30,6 +30,7 @@ def monitor(
     clock: Callable[[], datetime] = utc_now,
     retries: int = 3,
     retry_delay: float = 60.0,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Process every new message once, in batches; ``every=None`` drains and stops.
 
@@ -37,12 +38,17 @@ def monitor(
     of the history, keyed by the batch number.  A batch that fails is repeated
     after ``retry_delay`` seconds, ``retries`` times; it replaces what it wrote.
     After that the query ends, and a restarted one repeats the batch.
+
+    With ``compact_every``, after so many batches all but the last one, which may
+    yet be repeated, are merged into the base of the history.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         for attempt in range(retries + 1):
             try:
                 run_batch(batch, store, batch_id, clock(), tables, model, params)
+                if compact_every and batch_id and batch_id % compact_every == 0:
+                    store.compact(batch_id - 1)
                 return
             except Exception:
                 if attempt == retries:
