@@ -19,7 +19,7 @@ is at most (a + b) / 7 for sizes a and b.
   in the first round as many as may join the components, in the second all that
   are left.  Documents of one component need no comparison, so large groups of
   copies cost no pairs.
-* Sets are compared exactly (48-bit shingle hashes, shipped once per candidate).
+* Sets are compared by all their 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BITS = 9
 BLOCK = 4096
-GROUP_ROWS = 50_000
+GROUP_ROWS = 16_384
 FULL, PAIRS, GROUPS = 8, 0, 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -145,7 +145,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, edge = shingles(part.column("text"))
-                sums = [np.concatenate([[0], np.cumsum(v, dtype=k.U)]).astype(k.U) for v in (k.mix(value, 20), k.mix(value, 21))]
+                sums = [np.concatenate([np.zeros(1, k.U), np.cumsum(v, dtype=k.U)]) for v in (k.mix(value, 20), k.mix(value, 21))]
                 one, two = (k.mix((s[edge[1:]] - s[edge[:-1]]) ^ np.diff(edge).astype(k.U)).view(np.int64) for s in sums)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(edge)), pa.array(one), pa.array(two),
@@ -242,7 +242,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, edge = shingles(part.column("text"))
-                value = (value >> k.U(16)).astype(np.int64)
+                value = value.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(edge)),
                      pa.array([k.pack(value[i:j]) for i, j in zip(edge, edge[1:])], pa.binary())],
@@ -346,10 +346,11 @@ def across(members: DataFrame, forest: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     parts = members.groupBy("low").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("parts"))
     dealt = members.join(parts, "low").withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.groupBy(
-        "low", F.pmod(F.xxhash64("piece"), F.col("parts")), F.least("own", "other"), F.greatest("own", "other")
-    ).applyInArrow(run, "piece long, a long, b long")
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({
+        "part": F.pmod(F.xxhash64("piece"), F.col("parts")), "from": F.least("own", "other"), "to": F.greatest("own", "other")})
+    # The join leaves rows dealt by ``low``, which would do for these groups but keep a family in one task.
+    keys = ["low", "part", "from", "to"]
+    return dealt.repartition(*keys).groupBy(*keys).applyInArrow(run, "piece long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,8 +362,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component.
 
     Null texts count as empty.  Rows without id get their size and no component.
-    Rows that repeat an id each count by their own text; the id can be reached
-    through any of them.  Other columns are ignored; an empty table gives no rows.
+    Ids should be unique: rows that repeat an id are linked by equal sets, and by
+    sets that are merely alike as far as these link to the id's largest set.  Other
+    columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total, _ = k.parts(rows, F.octet_length("text"), BUCKET_BYTES)
@@ -372,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     known = facts.where("doc_id IS NOT NULL AND n > 0")
     first = known.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    # One set per document id from here on; ids are repeated only in odd inputs.
+    # One set per document id from here on.
     of = stored(known.join(first, ["one", "two"]).groupBy("doc_id", "rep").agg(F.max("n").alias("n")), "copies")
     name = of.select("doc_id", "rep")
     sketched = stored(known.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).join(

@@ -61,6 +61,22 @@ def test_jaccard_groups(table):
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
 
 
+def test_equal_sets_have_equal_hashes_wherever_they_lie(spark):
+    rows = [(i, f"a{i} b c d e f{i % 7} g h") for i in range(500)] + [(1000 + i, "same text of a few more words here") for i in range(500)]
+    random.Random(1).shuffle(rows)
+    facts = parity_join.describe(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    keys = {(r.one, r.two) for r in facts if r.doc_id >= 1000}
+    assert len(keys) == 1 and len({(r.one, r.two) for r in facts}) == 501
+
+
+def test_a_family_is_dealt_over_many_tasks(spark):
+    rows = spark.createDataFrame([(1, 10, 0, i, i, 40, b"") for i in range(10)],
+                                 "piece long, size long, low long, doc_id long, root long, n long, sketch binary")
+    plan = parity_join.across(rows, False)._jdf.queryExecution().executedPlan().toString()
+    group = plan[plan.index("FlatMapGroupsInArrow"):]
+    assert "hashpartitioning(low" in group and "REPARTITION_BY_COL" in group[:group.index("Generate")]
+
+
 def test_jaccard_of_nothing(table):
     assert parity_join.near_duplicates(table([])).collect() == []
 
