@@ -77,8 +77,13 @@ def spread_key() -> Column:
     return F.coalesce(F.col("url"), F.concat(F.lit("\x00"), F.col("uid").cast("string")))
 
 
-def with_reports(occurrences: DataFrame, reports: DataFrame | None = None) -> DataFrame:
-    """Attach the per-URL reports to every occurrence of the URL.
+#: What a report may have besides the parts that count for the risk.
+DETAILS = ("redirect_count", "final_url", "chain", "redirect_flags", "redirect_level",
+           "intel_level", "positives", "total", "detected_engines", "clean_engines")
+
+
+def with_reports(occurrences: DataFrame, reports: DataFrame | None = None, details: tuple[str, ...] = ()) -> DataFrame:
+    """Attach the per-URL reports to every occurrence of the URL, with those details that they have.
 
     Without reports no shuffle is needed at all.  With them, the occurrences
     are the left side of one join with a table that is unique on the key, so
@@ -91,7 +96,7 @@ def with_reports(occurrences: DataFrame, reports: DataFrame | None = None) -> Da
             "intel_status": F.lit("skipped"),
         })
     keyed = reports.select(
-        F.col("url").alias("_key"), "redirect_score", "intel_risk", "intel_status")
+        F.col("url").alias("_key"), "redirect_score", "intel_risk", "intel_status", *[d for d in details if d in reports.columns])
     return occurrences.withColumn("_key", spread_key()).join(keyed, "_key", "left").drop("_key")
 
 
@@ -102,12 +107,13 @@ def score_urls(
     content_points_col: str | None = None,
     content_indicators_col: str | None = None,
     flags: bool = True,
+    details: tuple[str, ...] = (),
 ) -> DataFrame:
     """Full verdict of each URL row: the four parts, overall score, level, advice.
 
-    ``reports`` comes from :func:`url_reports`.
+    ``reports`` comes from :func:`url_reports`; of it ``details`` are kept.
     """
-    parts = us.with_url_parts(with_reports(occurrences, reports))
+    parts = us.with_url_parts(with_reports(occurrences, reports, details))
     scored = us.score_phishing(
         us.score_structure(parts, params, flags), params,
         content_points_col, content_indicators_col, flags)
@@ -122,6 +128,18 @@ def score_urls(
         F.col("overall_risk_level"), F.col("structure_flags"), F.col("phishing_level")))
 
 
+def verdict_columns(scored: DataFrame) -> list[Column]:
+    """Structure, phishing, redirects and intel of scored URLs as nested columns, then score, level and advice."""
+    own = lambda *names: [c for c in names if c in scored.columns]
+    return [
+        *us.url_report_columns(),
+        F.struct(*own("redirect_count", "final_url", "chain"), F.col("redirect_score").alias("score"),
+                 *own("redirect_flags", "redirect_level")).alias("redirect_analysis"),
+        F.struct(F.col("intel_status").alias("status"), F.col("intel_risk").alias("risk_score"),
+                 *own("intel_level", "positives", "total", "detected_engines", "clean_engines")).alias("threat_intel"),
+        F.col("overall_risk_score"), F.col("overall_risk_level"), F.col("recommendations")]
+
+
 def url_facts(messages: DataFrame, text: str = "content", params: Params = DEFAULTS) -> DataFrame:
     """``uid, urls, points``: all that the URL summary needs of a message."""
     lowered = messages.select("uid", text, F.lower(text).alias("_low"))
@@ -171,13 +189,47 @@ def summarise_urls(
     Rows of one message stay in one task until the group-by, so map-side
     aggregation sends one narrow row each.
     """
-    grouped = _message_scores(facts, reports, params).groupBy("uid").agg(
+    return _summary(_message_scores(facts, reports, params).groupBy("uid").agg(*_summary_sums()))
+
+
+def analyse_messages(
+    messages: DataFrame,
+    reports: DataFrame | None = None,
+    params: Params = DEFAULTS,
+    text: str = "content",
+) -> DataFrame:
+    """The URL summary per message and ``analyses``, the full verdict of each of its URLs in the order of extraction.
+
+    ``reports`` comes from :func:`url_reports`.  URLs are scored where the text is
+    read (with reports, after one join on the URL), and only a message's own
+    verdicts are put together.  A message without URLs has no analyses.  Uids must
+    be unique.
+    """
+    lowered = messages.select("uid", text, F.lower(text).alias("_low"))
+    facts = lowered.select(
+        "uid", ux.extract_urls(F.col(text)).alias("urls"), us.content_points("_low", params).alias("points"),
+        us.content_indicators("_low", params).alias("indicators"))
+    occurrences = facts.select("uid", "points", "indicators", F.posexplode_outer("urls").alias("pos", "url"))
+    scored = score_urls(occurrences, reports, params, "points", "indicators", details=DETAILS)
+    present = F.col("url").isNotNull()
+    rows = scored.select(
+        "uid", "url", F.when(present, F.col("overall_risk_score")).alias("score"), F.when(present, F.col("risk_rank")).alias("rank"),
+        F.when(present, F.struct("pos", F.struct("url", *verdict_columns(scored)).alias("verdict"))).alias("_analysis"))
+    grouped = rows.groupBy("uid").agg(*_summary_sums(), F.sort_array(F.collect_list("_analysis")).alias("_analyses"))
+    return _summary(grouped, F.transform("_analyses", lambda a: a["verdict"]).alias("analyses"))
+
+
+def _summary_sums() -> list[Column]:
+    return [
         F.count("url").cast("int").alias("urls_found"),
         F.max("score").alias("max_risk_score"),
         F.avg("score").alias("average_risk_score"),
         F.max("rank").alias("_rank"),
         F.sort_array(F.collect_list(F.when(F.col("rank") >= 4, F.col("url")))).alias("high_risk_urls"),
-    )
+    ]
+
+
+def _summary(grouped: DataFrame, *more: Column) -> DataFrame:
     found, bad = F.col("urls_found"), F.size("high_risk_urls")
     bad_text = F.when(bad > 0, bad.cast("string")).otherwise(F.lit("No"))
     summary = F.when(found == 0, F.lit("No URLs found in email content")).otherwise(
@@ -186,4 +238,4 @@ def summarise_urls(
     return grouped.select(
         "uid", "urls_found", "max_risk_score", "average_risk_score",
         F.coalesce(level_name(F.col("_rank")), F.lit("none")).alias("highest_risk_level"),
-        "high_risk_urls", summary.alias("summary"))
+        "high_risk_urls", summary.alias("summary"), *more)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from mailgrain.functions import text as tx
 from mailgrain.functions import urls as ux
 from mailgrain.operators import (
-    evaluation, history, intel, labelled, normalise, redirects, risk, rules, spam_model, stats,
-    tfidf, unsubscribe, voting,
+    evaluation, history, intel, labelled, naive_bayes, normalise, redirects, risk, rules, spam_model,
+    stats, tfidf, unsubscribe, voting,
 )
 from mailgrain.operators import url_scoring as us
 from mailgrain.plans import process, reports, train
@@ -261,6 +261,23 @@ def message_url_summary_joined(spark, folder):
     return _summary_text(risk.summarise_urls(facts, reports, CHECK))
 
 
+@query
+def message_analyses(spark, folder):
+    """The list of verdicts of every message, opened up again, with every lookup."""
+    messages = v.messages(spark, folder)
+    urls = us.distinct_urls(us.explode_urls(us.with_urls(messages)))
+    found = stored(risk.url_reports(urls, v.redirect_hops(spark, folder), v.intel_reports(spark, folder), CHECK), "reports")
+    rows = risk.analyse_messages(messages, found, CHECK).select("uid", F.posexplode("analyses").alias("pos", "a"))
+    return rows.select(
+        "uid", "pos", "a.url", F.col("a.structure_analysis.suspicious_score").alias("structure_score"),
+        joined(F.col("a.structure_analysis.flags")).alias("structure_flags"), "a.phishing_check.phishing_score",
+        joined(F.col("a.phishing_check.indicators")).alias("phishing_indicators"), "a.redirect_analysis.redirect_count",
+        joined(F.col("a.redirect_analysis.redirect_flags")).alias("redirect_flags"), "a.redirect_analysis.final_url",
+        F.col("a.threat_intel.status").alias("intel_status"), F.round("a.threat_intel.risk_score", 6).alias("intel_risk"),
+        F.round("a.overall_risk_score", 6).alias("overall_risk_score"), "a.overall_risk_level",
+        joined(F.col("a.recommendations")).alias("recommendations"))
+
+
 def _summary_text(rows: DataFrame) -> DataFrame:
     return rows.select(
         "uid", "urls_found", F.round("max_risk_score", 6).alias("max_risk_score"),
@@ -420,6 +437,37 @@ def tfidf_idf(spark, folder):
     return tfidf.vocabulary(terms, "terms", CHECK).withColumn("idf", F.round("idf", 9))
 
 
+def _stemmed_terms(spark, folder) -> DataFrame:
+    """doc_id, terms of all documents, stored for the several passes over them."""
+    docs = normalise.normalise(v.table(spark, folder, "documents"), "text", "processed_text", CHECK)
+    return stored(docs.select("doc_id", tfidf.terms(F.col("processed_text")).alias("terms")), "terms")
+
+
+@query
+def tfidf_vectors(spark, folder):
+    """The weighted, normalised terms of every stemmed document, one row each."""
+    docs = _stemmed_terms(spark, folder)
+    known = stored(tfidf.vocabulary(docs, "terms", CHECK), "vocabulary")
+    rows = tfidf.vectors(docs, known, "doc_id", params=CHECK)
+    return rows.select("doc_id", F.explode("vector").alias("t")).select(
+        "doc_id", "t.term", F.round("t.weight", 9).alias("weight"))
+
+
+@query
+def naive_bayes_scores(spark, folder):
+    """Counted on the train part in two halves, which are merged; scores of every document."""
+    docs = _stemmed_terms(spark, folder)
+    split = labelled.stratified_split(v.labelled_texts(spark, folder).select("doc_id", "label"), "doc_id", "label", CHECK)
+    trained = docs.join(split.where("not is_test").select("doc_id", "label"), "doc_id")
+    known = stored(tfidf.vocabulary(trained, "terms", CHECK), "vocabulary")
+    vectors = stored(tfidf.vectors(docs, known, "doc_id", params=CHECK), "vectors")
+    taught = stored(vectors.join(split.where("not is_test").select("doc_id", "label"), "doc_id"), "taught")
+    halves = [naive_bayes.partial_sums(taught.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
+    odds = stored(naive_bayes.log_odds(stored(naive_bayes.merged(*halves), "sums"), known, CHECK.smoothing_alone), "odds")
+    return naive_bayes.scores(vectors, odds, "doc_id", params=CHECK).select(
+        "doc_id", F.round("p_spam", 6).alias("p_spam"), "prediction", F.round("confidence", 6).alias("confidence"))
+
+
 @query
 def soft_vote(spark, folder):
     rows = v.model_scores(spark, folder)
@@ -545,6 +593,20 @@ def process_batch(spark, folder):
         "unsubscribe_successful", "url_count", "high_risk_urls")
 
 
+@query
+def process_batch_model(spark, folder):
+    """A batch of all messages judged by a saved and loaded ensemble: its members' probabilities, its votes, the history."""
+    path = shared_folder(spark, "spam-model")
+    train.train_and_evaluate(v.labelled_texts(spark, folder), "doc_id", "ensemble", CHECK, save_to=path)
+    store = HistoryStore(spark, shared_folder(spark, "history"))
+    process.run_batch(v.messages(spark, folder), store, 0, AS_OF, process.Tables(), spam_model.load(path), CHECK)
+    member = lambda name: F.max(F.when(F.col("member") == name, F.col("p_spam")))
+    said = store.scores().groupBy("uid").agg(
+        *[F.round(member(n), 6).alias(f"p_{n}") for n in voting.ENSEMBLE_WEIGHTS],
+        F.first("prediction").alias("prediction"), F.round(F.first("confidence"), 6).alias("confidence"))
+    return store.processed().select("uid", "is_spam", "has_unsubscribe", "url_count", "high_risk_urls").join(said, "uid")
+
+
 def _repeated_batch(spark, folder) -> HistoryStore:
     """The store after one whole batch that ran on two days; the second run replaced the first."""
     store = HistoryStore(spark, shared_folder(spark, "history"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailgrain.operators import risk, rules, spam_model
-from mailgrain.operators import url_scoring as us
 from mailgrain.params import DEFAULTS, Params
 from mailgrain.sources.workspace import stored
 
@@ -33,19 +32,14 @@ def url_verdicts(
     intel: DataFrame | None = None,
     params: Params = DEFAULTS,
 ) -> DataFrame:
-    """The full verdict of each distinct URL: structure, phishing, redirects and intel nested, score, level, advice."""
+    """The full verdict of each distinct URL: structure, phishing, redirects and intel nested, score, level, advice.
+
+    A null URL has one too, of nulls and the least risk.
+    """
     distinct = urls.select("url").distinct().withColumn("uid", F.col("url"))
     found = stored(risk.url_reports(distinct, hops, intel, params), "reports")
-    scored = risk.score_urls(distinct, found, params)
-    more = found.drop("uid", "redirect_score", "intel_risk", "intel_status")
-    own = lambda *names: [c for c in names if c in more.columns]
-    return scored.join(more, "url").select(
-        "url", *us.url_report_columns(),
-        F.struct(*own("redirect_count", "final_url", "chain"), F.col("redirect_score").alias("score"),
-                 *own("redirect_flags", "redirect_level")).alias("redirect_analysis"),
-        F.struct(F.col("intel_status").alias("status"), F.col("intel_risk").alias("risk_score"),
-                 *own("intel_level", "positives", "total", "detected_engines", "clean_engines")).alias("threat_intel"),
-        "overall_risk_score", "overall_risk_level", "recommendations")
+    scored = risk.score_urls(distinct, found, params, details=risk.DETAILS)
+    return scored.select("url", *risk.verdict_columns(scored))
 
 
 def check_texts(

@@ -6,15 +6,18 @@ import re
 import string
 from collections import Counter
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from mailgrain import params as P
+from mailgrain import schemas
 from mailgrain.functions.stemming import stem
-from mailgrain.operators import evaluation, labelled, normalise, spam_model, tfidf, voting
-from mailgrain.plans import reports, train
+from mailgrain.operators import evaluation, labelled, naive_bayes, normalise, spam_model, tfidf, voting
+from mailgrain.plans import process, reports, train
 from mailgrain.sources.labelled_csv import load_labelled
+from mailgrain.sources.store import HistoryStore
 
 SMALL = replace(P.DEFAULTS, trees=5, tree_depth=4, max_iter=50)
 
@@ -224,3 +227,97 @@ def test_labelled_csv(spark, tmp_path):
         (0, 'Hello, "you"\nthere'), (1, "Win")]
     balance = labelled.class_balance(chosen).first()
     assert balance["samples"] == 2 and balance["spam_ratio"] == pytest.approx(1 / 2)
+
+
+def test_term_counts(spark):
+    rows = [(1, ["b", "a", "b", "a b", "b"]), (2, []), (3, None), (4, ["x"])]
+    got = tfidf.term_counts(spark.createDataFrame(rows, "id int, terms array<string>")).collect()
+    want = {1: [("a", 1), ("a b", 1), ("b", 3)], 2: [], 3: None, 4: [("x", 1)]}
+    assert {r["id"]: r["terms"] and [tuple(t) for t in r["terms"]] for r in got} == {i: w for i, w in want.items()}
+
+
+def test_vectors_equal_the_library_features(spark):
+    rows = normalise.normalise(_corpus(spark)).select("id", "label", "processed_text", tfidf.terms(F.col("processed_text")).alias("terms"))
+    more = spark.createDataFrame([(900, 1, "", []), (901, 0, None, None), (902, 0, "zzz", ["zzz"])],
+                                 "id int, label int, processed_text string, terms array<string>")
+    rows = rows.unionByName(more)
+    known = tfidf.vocabulary(rows, "terms", SMALL)
+    stages = tfidf.fit_features(rows, SMALL)
+    words = stages.stages[0].vocabulary
+    want = {r["id"]: dict(zip([words[i] for i in r["features"].indices], r["features"].values))
+            for r in stages.transform(rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))).collect()}
+    for limit in (SMALL, replace(SMALL, vocabulary_size=10**6)):
+        got = tfidf.vectors(rows, known, "id", keep=("label",), params=limit).collect()
+        assert {r["id"] for r in got} == set(want)
+        for r in got:
+            assert [t["term"] for t in r["vector"]] == sorted(want[r["id"]])
+            assert {t["term"]: t["weight"] for t in r["vector"]} == pytest.approx(want[r["id"]], abs=1e-12)
+
+
+def test_vectors_shuffle_each_document_once(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "id int, terms array<string>").repartition(2)
+    known = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, idf double")
+    plan = tfidf.vectors(docs, known, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_counted_naive_bayes_equals_the_library_member(spark):
+    rows = normalise.normalise(_corpus(spark)).select("id", "label", "processed_text")
+    model = spam_model.fit_model(rows, "naive_bayes", SMALL)
+    want = {r["id"]: r for r in spam_model.predict_main(rows, model).collect()}
+    docs = rows.withColumn("terms", tfidf.terms(F.col("processed_text")))
+    known = tfidf.vocabulary(docs, "terms", SMALL)
+    vectors = tfidf.vectors(docs, known, "id", keep=("label",), params=SMALL)
+    whole = naive_bayes.partial_sums(vectors)
+    parts = naive_bayes.merged(*[naive_bayes.partial_sums(vectors.where(F.col("id") % 3 == i)) for i in range(3)])
+    sums = {(r["label"], r["term"]): (r["weight"], r["docs"]) for r in whole.collect()}
+    assert {(r["label"], r["term"]): (pytest.approx(r["weight"]), r["docs"]) for r in parts.collect()} == sums
+    odds = naive_bayes.log_odds(parts, known, SMALL.smoothing_alone)
+    got = naive_bayes.scores(vectors, odds, "id", params=SMALL).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["prediction"] == want[r["id"]]["prediction"]
+        assert r["confidence"] == pytest.approx(want[r["id"]]["confidence"], abs=1e-9)
+
+
+def test_counted_naive_bayes_on_odd_rows(spark):
+    schema = "id int, label int, vector array<struct<term:string,weight:double>>"
+    known = spark.createDataFrame([("a",), ("b",)], "term string")
+    taught = spark.createDataFrame([(1, 1, [("a", 1.0)]), (2, 0, []), (3, None, [("a", 9.0)]), (4, 7, [("b", 9.0)])], schema)
+    odds = naive_bayes.log_odds(naive_bayes.partial_sums(taught), known, 0.1)
+    asked = spark.createDataFrame([(1, 0, []), (2, 0, None), (3, 0, [("unknown", 1.0)]), (4, 0, [("a", 1.0)])], schema)
+    got = {r["id"]: r["p_spam"] for r in naive_bayes.scores(asked, odds, "id").collect()}
+    # Class 1 has weight 1 for a, class 0 none for either term: likelihoods 1.1/1.2 and 0.1/0.2.
+    assert got == {i: pytest.approx(0.5) for i in (1, 2, 3)} | {4: pytest.approx((1.1 / 1.2) / (1.1 / 1.2 + 0.5))}
+    one_class = naive_bayes.log_odds(naive_bayes.partial_sums(taught.where("label = 1")), known, 0.1)
+    assert [r["p_spam"] for r in naive_bayes.scores(asked, one_class, "id").collect()] == [None] * 4
+    assert naive_bayes.scores(asked.where("false"), odds, "id").collect() == []
+
+
+def test_a_batch_judged_by_a_loaded_ensemble(spark, tmp_path):
+    """Votes follow by SQL from the stored probabilities, and are those of a prediction of the same texts."""
+    path, now = str(tmp_path / "model"), datetime(2024, 1, 31)
+    train.train_and_evaluate(_corpus(spark), "id", "ensemble", SMALL, path)
+    model = spam_model.load(path)
+    texts = [(str(r["id"]), r["id"], "a@b.org", "t", r["text"], now, None, None) for r in _corpus(spark).collect()[:40]]
+    texts += [("900", 900, "a@b.org", "t", None, now, None, None), ("901", 901, "a@b.org", "t", "lost", now, None, "unreadable")]
+    messages = spark.createDataFrame([*texts, texts[0]], schemas.MESSAGES)
+    store = HistoryStore(spark, str(tmp_path / "history"))
+    for _ in range(2):
+        process.run_batch(messages, store, 0, now, None, model, SMALL)
+    store.scores().createOrReplaceTempView("member_scores")
+    weight = "CASE member " + " ".join(f"WHEN '{n}' THEN {w}D" for n, w in P.ENSEMBLE_WEIGHTS.items()) + " END"
+    sure = "greatest(p_spam, 1 - p_spam)"
+    votes = spark.sql(f"""
+        SELECT uid, count(*) AS members, max(prediction) AS prediction, max(confidence) AS confidence,
+               CAST(sum({weight} * {sure} * CAST(p_spam > 1 - p_spam AS INT)) / sum({weight}) > 0.5 AS INT) AS voted,
+               sum({weight} * {sure}) / sum({weight}) AS mean
+        FROM member_scores GROUP BY uid""").collect()
+    assert {r["uid"] for r in votes} == {t[0] for t in texts if t[0] != "901"}
+    assert all(r["members"] == 3 and r["prediction"] == r["voted"] and r["confidence"] == pytest.approx(r["mean"]) for r in votes)
+    plain = {r["uid"]: r for r in spam_model.predict(messages.distinct(), model, "content", SMALL).collect()}
+    history = {r["uid"]: r for r in store.processed().collect()}
+    for r in votes:
+        assert plain[r["uid"]]["prediction"] == r["prediction"]
+        assert plain[r["uid"]]["confidence"] == pytest.approx(r["confidence"]) == pytest.approx(history[r["uid"]]["spam_confidence"])
+        assert history[r["uid"]]["is_spam"] == (r["prediction"] == 1 and r["confidence"] >= SMALL.confidence_threshold)

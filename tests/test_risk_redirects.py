@@ -232,3 +232,48 @@ def test_url_report_keeps_three_recommendations(spark):
     got = {r["url"]: r for r in reports.analyse_urls(urls, hops).collect()}
     assert got["http://a.org"]["recommendations"] == list(P.ADVICE_BY_LEVEL["minimal"])
     assert all(len(r["recommendations"]) <= 3 for r in got.values())
+
+
+def test_verdicts_keep_null_urls(spark):
+    """With and without lookups a null URL has one row, and other rows stay as they are alone."""
+    urls = spark.createDataFrame([(None,), ("https://a.org/x/y",), (None,)], "url string")
+    hops, reported = spark.createDataFrame(HOPS, schemas.HOPS), spark.createDataFrame(
+        [("https://a.org/x/y", 6, 60, None, None, {"e": (True,)})], schemas.INTEL)
+    for tables in ((None, None), (hops, reported), (hops, None), (None, reported)):
+        got = {r["url"]: r for r in reports.url_verdicts(urls, *tables).collect()}
+        assert set(got) == {None, "https://a.org/x/y"}
+        assert got[None]["overall_risk_level"] == "minimal" and got[None]["threat_intel"]["risk_score"] is None
+        alone = reports.url_verdicts(urls.where("url is not null"), *tables).collect()
+        assert [got["https://a.org/x/y"]] == alone
+
+
+@pytest.mark.parametrize("lookups", [False, True])
+def test_analyses_of_messages(spark, lookups):
+    """The summary is the plain one; each analysis is the URL's verdict plus the content's points; in the order of extraction."""
+    rows = spark.createDataFrame([
+        ("a", "winner www.second.tk and http://self.org then https://a.org/x/y twice https://a.org/x/y"),
+        ("b", "see https://a.org/x/y"), ("c", "nothing"), ("d", None), ("e", "http://x.com][ and http://n.org/3"),
+    ], "uid string, content string").repartition(3)
+    found = None
+    if lookups:
+        urls = spark.createDataFrame([(u,) for u, _, _ in HOPS], "url string")
+        found = stored(risk.url_reports(urls, spark.createDataFrame(HOPS, schemas.HOPS), spark.createDataFrame(
+            [("http://self.org", 6, 60, None, None, {"e": (True,)})], schemas.INTEL)), "reports")
+    got = {r["uid"]: r for r in risk.analyse_messages(rows, found).collect()}
+    plain = {r["uid"]: r for r in risk.summarise_messages(rows, found).collect()}
+    assert {u: r[:-1] for u, r in got.items()} == {u: tuple(r) for u, r in plain.items()}
+    assert [a["url"] for a in got["a"]["analyses"]] == [
+        "http://self.org", "https://a.org/x/y", "https://www.second.tk", "https://www.second", "https://self.org"]
+    assert got["c"]["analyses"] == got["d"]["analyses"] == []
+    one = got["b"]["analyses"][0]
+    assert one["structure_analysis"]["domain"] == "a.org" and one["phishing_check"]["indicators"] == []
+    first = got["a"]["analyses"][0]
+    assert "content_keyword_winner" in first["phishing_check"]["indicators"]
+    if lookups:
+        assert first["redirect_analysis"]["redirect_flags"][:1] == ["excessive_redirects"]
+        assert (first["threat_intel"]["status"], first["threat_intel"]["detected_engines"]) == ("scanned", ["e"])
+        assert one["redirect_analysis"]["final_url"] == "http://end.org"
+    else:
+        assert first["threat_intel"]["status"] == "skipped"
+    for r in got.values():
+        assert r["max_risk_score"] == max((a["overall_risk_score"] for a in r["analyses"]), default=None)
