@@ -19,7 +19,7 @@ is at most (a + b) / 7 for sizes a and b.
   in the first round as many as may join the components, in the second all that
   are left.  Documents of one component need no comparison, so large groups of
   copies cost no pairs.
-* Sets are compared by all their 64-bit shingle hashes.
+* Sets are compared exactly (48-bit shingle hashes, shipped once per candidate).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from mailgrain.llm.components import components
 from mailgrain.sources.workspace import stored
 
 SHINGLE = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 LEAST_BITS = 9
 BLOCK = 4096
@@ -242,7 +242,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, edge = shingles(part.column("text"))
-                value = value.view(np.int64)
+                value = (value >> k.U(16)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(edge)),
                      pa.array([k.pack(value[i:j]) for i, j in zip(edge, edge[1:])], pa.binary())],
@@ -255,10 +255,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are at least 75 % alike."""
     def run(batches):
         for batch in batches:
-            a, b, n, m, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))
+            n, m = (batch.column(c).to_pylist() for c in ("na", "nb"))
+            x, y = batch.column("x"), batch.column("y")
             keep = []
-            for i in range(len(a)):
-                both = len(np.intersect1d(k.unpack(x[i], n[i]), k.unpack(y[i], m[i]), assume_unique=True))
+            for i in range(batch.num_rows):
+                both = len(np.intersect1d(k.unpack(x[i].as_buffer(), n[i]), k.unpack(y[i].as_buffer(), m[i]), assume_unique=True))
                 keep.append(100 * both >= 75 * (n[i] + m[i] - both))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
