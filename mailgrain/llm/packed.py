@@ -7,6 +7,8 @@ hash of any stretch is one subtraction and one multiplication.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+LONG_WORD = 64
 U = np.uint64
 
 
@@ -96,8 +99,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, stop, np.searchsorted(start, bounds)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return mix(stretch_hash(prefix_hash(byte_values(data)), start, stop) + U(1) * (stop - start).astype(U))
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; hashes of different seeds are independent.
+
+    Texts can be made for which any polynomial modulo 2**64 collides, but only
+    long ones: words of more than LONG_WORD bytes are digested instead.
+    """
+    size = stop - start
+    out = mix(stretch_hash(prefix_hash(byte_values(data, seed)), start, stop) + size.astype(U), seed)
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(np.ascontiguousarray(data[start[i]: stop[i]]), digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
 def windows(first: np.ndarray, length: int) -> np.ndarray:

@@ -38,9 +38,10 @@ def fingerprints(table: pa.Table, length: int):
     data, bounds = k.utf8(table["text"])
     start, stop, first = k.words_of(data, bounds)
     at = k.windows(first, length)
-    words = k.word_hashes(data, start, stop)
-    one = k.mix(k.stretch_hash(k.prefix_hash(words), at, at + length), 1)
-    two = k.mix(k.stretch_hash(k.prefix_hash(k.mix(words, 2)), at, at + length), 3) >> k.U(32)
+    one, two = (
+        k.mix(k.stretch_hash(k.prefix_hash(k.word_hashes(data, start, stop, seed)), at, at + length), 1 + 2 * seed)
+        for seed in (0, 1))
+    two = two >> k.U(32)
     return (data, bounds, start, stop, first), at, one, two
 
 

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import corpus, in_order, near_groups, without_strings, without_windows
 
-from mailgrain.llm import components, parity_join, suffix_dedup, window_dedup
+from mailgrain.llm import components, packed, parity_join, suffix_dedup, window_dedup
 
 ODD = [(3, "w1 w2 w3 w4 w5 w6"), (3, "w1 w2 w3 w4 w5 w6"), (None, "w1 w2 w3 w4 w5 w6"), (None, None), (7, "w2 w3 w4 w5 w6 x")]
 
@@ -39,6 +40,32 @@ def test_whole_characters_and_kept_columns(table):
     assert all(r.score == "x" and bytes(r.kept).decode() is not None for r in got)
 
 
+def collision(n):
+    """Two different words of 2**n bytes that any polynomial modulo 2**64 takes for one, if n is 10 or more."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_made_to_collide(table):
+    one, two = collision(11)
+    rows = [(1, " ".join([one, *(f"w{i}" for i in range(19))])), (2, " ".join([two, *(f"w{i}" for i in range(19))]))]
+    got = window_dedup.remove_repeats(table(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 20, 0), (2, 20, 0)]
+    got = parity_join.near_duplicates(table([(1, one), (2, two), (3, two)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_word_hashes_of_two_seeds_are_independent():
+    texts = ["x", "y" * packed.LONG_WORD, "z" * (packed.LONG_WORD + 1), "z" * (packed.LONG_WORD + 1), *collision(11)]
+    data, bounds = packed.utf8(pa.array(texts))
+    one, two = (packed.word_hashes(data, bounds[:-1], bounds[1:], seed) for seed in (0, 1))
+    for h in (one, two):
+        assert len(set(h.tolist())) == 5 and h[2] == h[3]
+    assert not set(one.tolist()) & set(two.tolist())
+
+
 def test_suffix_sort_is_a_stable_sort():
     r = random.Random(1)
     data = np.array([r.choice(b"ab") for _ in range(3000)], np.uint8)
