@@ -29,6 +29,7 @@ HIDDEN = 16
 GENERATED, SAMPLE, SAMPLE_CHARS = 500, 300, 20_000
 EPOCHS = 5
 PAGES_AT_ONCE = 256
+CELLS = 1 << 15
 SLICE_BYTES = 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -158,7 +159,13 @@ def path_vectors(paths: dict) -> np.ndarray:
 
 def block_vectors(pages: list[list[tuple[str, int, int]]], paths: dict) -> np.ndarray:
     """One row per block of all pages."""
-    blocks = [b for page in pages for b in page]
+    count = np.array([len(p) for p in pages], np.int64)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return vectors_of([b for page in pages for b in page], place, np.repeat(count, count), path_vectors(paths))
+
+
+def vectors_of(blocks: list[tuple[str, int, int]], place: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """One row per block, given its place in its page, the page's number of blocks, and the vectors of all paths."""
     texts = pa.array([b[0] for b in blocks], pa.large_string())
     data, bounds = k.utf8(texts)
     start, stop, first = k.words_of(data, bounds)
@@ -170,15 +177,12 @@ def block_vectors(pages: list[list[tuple[str, int, int]]], paths: dict) -> np.nd
     ends = np.isin(data[stop - 1], np.frombuffer(b".!?", np.uint8)) if len(stop) else np.zeros(0, bool)
     sentence = np.bincount(doc, ends, minlength=len(blocks))
     size = np.array([len(b[0]) for b in blocks], np.int64)
-    count = np.array([len(p) for p in pages], np.int64)
-    place = np.arange(len(blocks)) - np.repeat(np.cumsum(count) - count, count)
-    of = np.repeat(count, count)
     stats = np.stack([
         np.log1p(size) / 8, np.log1p(n_words) / 6, np.minimum(np.array([b[2] for b in blocks]) / np.maximum(size, 1), 1),
         np.minimum(sentence, 5) / 5, sentence / np.maximum(n_words, 1), (place + 1) / (of + 1), 1 - (place + 1) / (of + 1),
         np.log1p(of) / 6], axis=1) if len(blocks) else np.zeros((0, STATS))
     return np.hstack([
-        path_vectors(paths)[[b[1] for b in blocks]], bag / np.sqrt(np.maximum(n_words, 1))[:, None], stats
+        known[[b[1] for b in blocks]], bag / np.sqrt(np.maximum(n_words, 1))[:, None], stats
     ]).astype(np.float32)
 
 
@@ -212,28 +216,45 @@ class Labeller:
         w["o"], w["i"], w["e"] = r.normal(0, 0.2, 2 * HIDDEN), np.zeros(WIDTH), np.zeros(1)
         return Labeller({n: v.astype(np.float32) for n, v in w.items()})
 
+    def direction(self, d, x, mask, h, c, trace=None):
+        """States of one direction from a given start, and where it ends."""
+        w = self.weights
+        pre = x @ w[f"x{d}"] + w[f"c{d}"]
+        out = np.zeros((*x.shape[:2], HIDDEN), np.float32)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = pre[t] + h @ w[f"h{d}"]
+            gate = sigmoid(z[:, : 3 * HIDDEN])
+            i, f, o = gate[:, :HIDDEN], gate[:, HIDDEN: 2 * HIDDEN], gate[:, 2 * HIDDEN:]
+            g, m = np.tanh(z[:, 3 * HIDDEN:]), mask[t][:, None]
+            new = f * c + i * g
+            tanh = np.tanh(new)
+            if trace is not None:
+                trace.append((d, t, i, f, o, g, c, h, tanh, m))
+            # Outside a page the state stays empty.
+            c, h = m * new, m * o * tanh
+            out[t] = h
+        return out, h, c
+
     def forward(self, x, mask, trace=None):
-        w, states = self.weights, []
-        for d in "fb":
-            pre = x @ w[f"x{d}"] + w[f"c{d}"]
-            h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-            out = np.zeros((*x.shape[:2], HIDDEN), np.float32)
-            for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-                z = pre[t] + h @ w[f"h{d}"]
-                gate = sigmoid(z[:, : 3 * HIDDEN])
-                i, f, o = gate[:, :HIDDEN], gate[:, HIDDEN: 2 * HIDDEN], gate[:, 2 * HIDDEN:]
-                g, m = np.tanh(z[:, 3 * HIDDEN:]), mask[t][:, None]
-                new = f * c + i * g
-                tanh = np.tanh(new)
-                if trace is not None:
-                    trace.append((d, t, i, f, o, g, c, h, tanh, m))
-                # Outside a page the state stays empty.
-                c, h = m * new, m * o * tanh
-                out[t] = h
-            states.append(out)
-        both = np.concatenate(states, axis=2)
+        w = self.weights
+        empty = np.zeros((x.shape[1], HIDDEN), np.float32)
+        both = np.concatenate([self.direction(d, x, mask, empty, empty, trace)[0] for d in "fb"], axis=2)
         return both @ w["o"] + x @ w["i"] + w["e"], both
 
+    def long_page(self, n: int, rows) -> np.ndarray:
+        """Scores of one page of n blocks, whose vectors ``rows(low, high)`` gives part by part."""
+        w = self.weights
+        score = np.full(n, w["e"][0], np.float32)
+        for d, out in (("f", w["o"][:HIDDEN]), ("b", w["o"][HIDDEN:])):
+            h = c = np.zeros((1, HIDDEN), np.float32)
+            for low in range(0, n, CELLS) if d == "f" else reversed(range(0, n, CELLS)):
+                x = rows(low, min(low + CELLS, n))[:, None]
+                state, h, c = self.direction(d, x, np.ones(x.shape[:2], np.float32), h, c)
+                score[low: low + len(x)] += state[:, 0] @ out
+                if d == "f":
+                    score[low: low + len(x)] += x[:, 0] @ w["i"]
+        return score
+
     def gradients(self, x, mask, label):
         trace: list = []
         raw, both = self.forward(x, mask, trace)
@@ -262,13 +283,32 @@ class Labeller:
         return grad
 
     def is_main(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        out: list = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), PAGES_AT_ONCE):
-            own = order[a: a + PAGES_AT_ONCE]
-            raw, _ = self.forward(*padded([pages[i] for i in own]))
-            for j, i in enumerate(own):
-                out[i] = raw[: len(pages[i]), j] > 0
+        """Which blocks of each page, given its vectors, are main text."""
+        return self.label([len(p) for p in pages], lambda own, low, high: [pages[i][low:high] for i in own])
+
+    def label(self, sizes: list[int], rows) -> list[np.ndarray]:
+        """Which blocks of each page are main text; ``rows(pages, low, high)`` gives vectors of these blocks.
+
+        Pages of similar length go together, padded to at most CELLS blocks; longer ones go alone and part by part.
+        """
+        out: list = [np.zeros(0, bool)] * len(sizes)
+        group: list[int] = []
+
+        def flush():
+            if group:
+                raw, _ = self.forward(*padded(rows(group, 0, CELLS)))
+                for j, i in enumerate(group):
+                    out[i] = raw[: sizes[i], j] > 0
+            group.clear()
+
+        for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: sizes[i]):
+            if len(group) == PAGES_AT_ONCE or (len(group) + 1) * sizes[i] > CELLS:
+                flush()
+            if sizes[i] > CELLS:
+                out[i] = self.long_page(sizes[i], lambda low, high: rows([i], low, high)[0]) > 0
+            else:
+                group.append(i)
+        flush()
         return out
 
 
@@ -475,9 +515,16 @@ def train(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
 def main_texts(html: list[str | None], model: Labeller) -> list[str]:
     paths: dict = {}
     pages = [read_page(h, paths) for h in html]
-    rows = block_vectors(pages, paths)
-    edge = np.concatenate([[0], np.cumsum([len(p) for p in pages], dtype=np.int64)])
-    main = model.is_main([rows[i:j] for i, j in zip(edge, edge[1:])])
+    known = path_vectors(paths)
+
+    def rows(own: list[int], low: int, high: int) -> list[np.ndarray]:
+        parts = [pages[i][low:high] for i in own]
+        place = np.concatenate([np.arange(low, low + len(p)) for p in parts])
+        of = np.repeat([len(pages[i]) for i in own], [len(p) for p in parts])
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        return np.split(vectors_of([b for p in parts for b in p], place, of, known), cuts)
+
+    main = model.label([len(p) for p in pages], rows)
     return [" ".join(b[0] for b, m in zip(page, flags) if m) for page, flags in zip(pages, main)]
 
 
