@@ -156,7 +156,10 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     metadata=("n_chars",), sample: int = SAMPLE, updates: int = UPDATES,
 ) -> Machine:
-    """A machine fitted on at most ``sample`` labelled documents, those with the smallest hash of their id."""
+    """A machine fitted on at most ``sample`` labelled documents, those with the smallest hash of their id.
+
+    Of rows that repeat an id one is learned from; of its labels the highest counts.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col)).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -171,10 +174,11 @@ def train(
                      pa.array([value[i:j].astype(np.float16).tobytes() for i, j in cuts], pa.binary())],
                     names=["doc_id", "label", "index", "value"])
 
-    # At most ``sample`` rows of two numbers are broadcast.
+    # At most ``sample`` rows of two numbers are broadcast, and one row of each of these ids comes back.
     rows = prepared(docs, id_col, text_col, metadata).join(F.broadcast(chosen), "doc_id").mapInArrow(
         run, "doc_id long, label double, index binary, value binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r["index"])))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("index", "value", "label")).alias("row")).select("doc_id", "row.*")
+    got = sorted(rows.collect(), key=lambda r: r.doc_id)
     index = np.frombuffer(b"".join(bytes(r["index"]) for r in got), np.int32)
     value = np.frombuffer(b"".join(bytes(r["value"]) for r in got), np.float16).astype(np.float32)
     edge = np.concatenate([[0], np.cumsum([len(r["index"]) // 4 for r in got], dtype=np.int64)])

@@ -127,6 +127,42 @@ def test_quality(spark):
     assert {x.score for x in quality_machine.score(docs.limit(3), nothing).collect()} != set()
 
 
+def test_sample_has_one_row_of_each_id(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(quality_machine, "fit", lambda index, value, edge, label, size, updates: got.update(edge=edge, label=label))
+    docs = spark.createDataFrame([(1, f"text {i} of one", 9) for i in range(500)] + [(i, "other text", 9) for i in range(2, 9)],
+                                 "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    quality_machine.train(docs, labels, sample=2)
+    assert got["label"].tolist() == [1, 0] and len(got["edge"]) == 3
+
+
+def test_quality_query_against_explicit_pairs(spark):
+    """Every pair of a text's features multiplied out, held-out rows by the standard library's checksum."""
+    import math
+    import zlib
+
+    from mailgrain.llm import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "n_chars")
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs.collect()}
+    known = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    learned = spark.createDataFrame([(r.doc_id, r.quality) for r in known if not held[r.doc_id]], "doc_id long, quality int")
+    machine = quality_machine.train(docs, learned)
+    got = {r.doc_id: r for r in catalogue.QUERIES["op4_quality"](spark, folder).collect()}
+    assert set(got) == set(held)
+    for r in docs.collect():
+        meta = np.array([[min(math.log1p(r.n_chars) / 20, 1.0)]])
+        index, value, _ = quality_machine.features(pa.array([r.text]), meta)
+        x, v = value.astype(float), machine.factor[index].astype(float)
+        pairs = np.triu((v @ v.T) * np.outer(x, x), 1).sum()
+        score = 1 / (1 + math.exp(-min(max(machine.bias + machine.weight[index].astype(float) @ x + pairs, -30), 30)))
+        row = got[r.doc_id]
+        assert row.held_out == held[r.doc_id] and abs(row.score - score) < 1e-3
+        assert row.predicted == (row.score >= 0.7)
+
+
 def test_labeller_gradients():
     r = np.random.default_rng(3)
     model = block_labeller.Labeller({n: v.astype(np.float64) for n, v in block_labeller.Labeller.fresh().weights.items()})
@@ -212,6 +248,31 @@ def test_labeller_on_unseen_layouts(labeller):
     assert np.mean(np.concatenate(found) == np.concatenate(labels)) > 0.95
 
 
+def test_long_pages_part_by_part(labeller, monkeypatch):
+    r = np.random.default_rng(3)
+    pages = [r.random((n, block_labeller.WIDTH), np.float32) for n in (0, 1, 30, 31, 64, 65, 200, 500)]
+    plain = [labeller.forward(p[:, None], np.ones((len(p), 1), np.float32))[0][:, 0] for p in pages]
+    monkeypatch.setattr(block_labeller, "CELLS", 64)
+    assert all(np.array_equal(a, b > 0) for a, b in zip(labeller.is_main(pages), plain))
+    assert np.allclose(labeller.long_page(500, lambda low, high: pages[-1][low:high]), plain[-1], atol=1e-4)
+
+
+def test_a_page_of_very_many_blocks_among_small_ones(labeller):
+    """Memory stays bounded, and every page gets the text it has alone."""
+    import tracemalloc
+
+    article = "<body><nav><a href=x>Menu</a></nav><article>" + "".join(
+        f"<p>Sentence number {i} of a long article, which goes on for some words.</p>" for i in range(3)) + "</article></body>"
+    long = "<body><article>" + "<p>ab</p>" * 100_000 + "</article></body>"
+    tracemalloc.start()
+    together = block_labeller.main_texts([long, *[article] * 255], labeller)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    assert together[0] == block_labeller.main_texts([long], labeller)[0]
+    assert set(together[1:]) == set(block_labeller.main_texts([article], labeller))
+
+
 def test_labeller_on_the_tables(spark):
     import html
     import re
