@@ -229,6 +229,14 @@ def url_report(spark, folder):
     return rows.withColumn("recommendations", joined(F.col("recommendations")))
 
 
+@query
+def url_report_joined(spark, folder):
+    """The reports with redirects and threat intelligence."""
+    rows = reports.analyse_urls(
+        v.page_urls(spark, folder), v.redirect_hops(spark, folder), v.intel_reports(spark, folder), CHECK)
+    return rows.withColumn("recommendations", joined(F.col("recommendations")))
+
+
 @query
 def url_verdict(spark, folder):
     """Full verdicts with every lookup, their nested parts side by side."""
@@ -347,9 +355,9 @@ def upsert_history(spark, folder):
         "is_spam", "spam_confidence", "url_count")
 
 
-def _dated_batches(spark, folder, rows: DataFrame) -> HistoryStore:
+def _dated_batches(spark, folder, rows: DataFrame, daily: bool = False) -> HistoryStore:
     """A store with the rows in three batches by date, the first two merged before the third came."""
-    store = HistoryStore(spark, shared_folder(spark, "history"))
+    store = HistoryStore(spark, shared_folder(spark, "history"), daily=daily)
     days = [F.lit(d).cast("timestamp") for d in ("2024-01-10", "2024-01-20")]
     when = F.col("processed_date")
     for number, chosen in enumerate((when < days[0], (when >= days[0]) & (when < days[1]), when >= days[1])):
@@ -384,7 +392,20 @@ def message_attempts(spark, folder):
 
 @query
 def history_stats(spark, folder):
-    rows = stats.history_stats(v.processed(spark, folder), v.sessions(spark, folder), AS_OF, 20)
+    return _rounded_stats(stats.history_stats(v.processed(spark, folder), v.sessions(spark, folder), AS_OF, 20))
+
+
+@query
+def history_stats_daily(spark, folder):
+    """As above from the daily sums of a store: a base of two batches, one more, and a last one that holds their spam again."""
+    rows = v.processed(spark, folder)
+    store = _dated_batches(spark, folder, rows, daily=True)
+    store.write("processed_emails", rows.where("is_spam"), 3)
+    sums = store.message_sums(AS_OF - timedelta(days=20))
+    return _rounded_stats(stats.history_stats_of_sums(sums, v.sessions(spark, folder), AS_OF, 20))
+
+
+def _rounded_stats(rows: DataFrame) -> DataFrame:
     rounded = ("average_spam_confidence", "average_processing_time", "spam_percentage",
                "unsubscribe_success_rate")
     return rows.select(*[
