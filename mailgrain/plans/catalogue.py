@@ -9,10 +9,11 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailgrain.functions import keywords as kw
 from mailgrain.functions import text as tx
 from mailgrain.functions import urls as ux
 from mailgrain.operators import (
-    evaluation, history, intel, labelled, naive_bayes, normalise, redirects, risk, rules, spam_model,
+    evaluation, history, host_lists, intel, labelled, naive_bayes, normalise, redirects, risk, rules, spam_model,
     stats, tfidf, unsubscribe, voting,
 )
 from mailgrain.operators import url_scoring as us
@@ -58,6 +59,29 @@ def keyword_counts(spark, folder):
         tx.keyword_count("low", CHECK.ham_keywords).alias("ham_keywords"))
 
 
+@query
+def keyword_counts_listed(spark, folder):
+    """The same counts by an automaton, whose time does not grow with the lists."""
+    rows = v.messages(spark, folder).select("uid", F.lower("content").alias("low"))
+    return rows.select(
+        "uid", kw.keyword_count(F.col("low"), CHECK.spam_keywords).alias("spam_keywords"),
+        kw.keyword_count(F.col("low"), CHECK.ham_keywords).alias("ham_keywords"))
+
+
+@query
+def phishing_words_listed(spark, folder):
+    """Phishing keywords that each message holds, and the names that its URLs' hosts mimic."""
+    rows = v.messages(spark, folder).select(
+        "uid", kw.held_keywords(F.lower("content"), CHECK.phishing_keywords).alias("words"))
+    return rows.select("uid", F.size("words").alias("points"), joined(F.col("words")).alias("words"))
+
+
+@query
+def mimicked_names(spark, folder):
+    hosts = us.with_url_parts(v.probe_urls(spark, folder))
+    return hosts.select("url", joined(kw.mimicked_names(F.col("host"), CHECK.trusted_names)).alias("names"))
+
+
 @query
 def suspicious_patterns(spark, folder):
     rows = v.messages(spark, folder).select("uid", "content", F.lower("content").alias("low"))
@@ -171,6 +195,35 @@ def typosquat(spark, folder):
     return parts.select("url", "host", joined(hits).alias("targets"))
 
 
+@query
+def near_hosts(spark, folder):
+    """Hosts of all probed URLs that are near misses of hosts in a table: the pages' own and the popular ones."""
+    found = us.with_url_parts(v.probe_urls(spark, folder)).where(~F.col("malformed"))
+    known = us.with_url_parts(v.page_urls(spark, folder)).select(F.col("host").alias("target"))
+    popular = spark.createDataFrame([(p,) for p in CHECK.popular_hosts], known.schema)
+    return host_lists.near_hosts(found, known.unionByName(popular))
+
+
+@query
+def near_targets(spark, folder):
+    """The default list of popular hosts as a table: the same rows as ``typosquat``."""
+    parts = us.with_url_parts(v.page_urls(spark, folder))
+    popular = spark.createDataFrame([(p,) for p in CHECK.popular_hosts], "target string")
+    found = host_lists.with_near_targets(parts, popular)
+    return found.select("url", "host", joined(F.col("near_targets")).alias("targets"))
+
+
+@query
+def host_suffixes(spark, folder):
+    """The longest listed suffix of every probed host; listed are the pages' parent hosts, with their pages, and the default ones."""
+    found = us.with_url_parts(v.probe_urls(spark, folder)).select("url", "host")
+    parent = F.regexp_extract("host", r"\A[^.]*\.(.+)\z", 1)
+    parents = us.with_url_parts(v.page_urls(spark, folder)).select(parent.alias("suffix")).where("suffix <> ''")
+    counted = parents.groupBy("suffix").agg(F.count(F.lit(1)).alias("pages"))
+    default = spark.createDataFrame([(t, 0) for t in CHECK.suspicious_tlds], "suffix string, pages long")
+    return host_lists.with_longest_suffix(found, counted.unionByName(default))
+
+
 @query
 def redirect_chains(spark, folder):
     chains = redirects.follow_redirects(
