@@ -144,7 +144,8 @@ def op6_token_counts(spark, folder):
 
 @query
 def op7_mixing(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source", n_words("text").alias("size"))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "source", n_words("text").alias("size"), F.xxhash64("text").alias("text_hash"))
     mixed = curriculum.mix(stored(docs, "sizes"))
     first = F.try_element_at("positions", F.lit(1))
     return mixed.select(
@@ -277,7 +278,8 @@ LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (d
 
 @query
 def op10_packing(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", n_words("text").alias("length"))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", n_words("text").alias("length"), F.xxhash64("text").alias("text_hash"))
     return length_buckets.pack(stored(docs, "lengths")).select(
         "doc_id", "length", "bucket", "bound", "batch", "padding")
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailgrain.llm.ordering import spread_order
+
 # Integrals 5, 2 and 1: early, steady and late sources in turn.
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 MOST_REPEATS = 3
@@ -83,9 +85,9 @@ def mix(
 
     A null size counts as 0; rows without source are a source of their own.  Rows
     that repeat an id are taken one after the other (equal rows are
-    interchangeable); rows of a source without any word are taken once.  A column
-    of docs that has the name of an added one is replaced.  An empty table gives
-    no rows.
+    interchangeable), rows without id in the order of a hash of their other columns;
+    rows of a source without any word are taken once.  A column of docs that has
+    the name of an added one is replaced.  An empty table gives no rows.
     """
     hidden = {n: f"_mix_{n}" for n in ("order", "range", "key", "missing", "before", "within")}
     order, range_, key, missing, before, within = hidden.values()
@@ -93,7 +95,7 @@ def mix(
     own = docs.drop("source_size", "target", "copies", "taken", "positions")
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     rows = own.withColumns({
-        order: F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
+        order: spread_order(own, id_col),
         key: F.coalesce(F.col(source_col), F.lit("")), missing: F.col(source_col).isNull(),
     }).withColumn(range_, F.floor(
         F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long"))

@@ -19,24 +19,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailgrain.llm.ordering import spread_order
+
 BUCKETS = 16
 BUDGET = 65_536
-EXACT_BITS = 6
 ROWS_PER_RANGE = 2048
 
 
-def rounded_up(length: Column, bits: int = EXACT_BITS) -> Column:
-    """Lengths kept exact below 2**bits, else rounded up to that many leading bits.
-
-    So a histogram has at most 2**(bits - 1) entries for each doubling of the
-    length, however many documents there are.  ``pack`` does not use it: rounded
-    lengths give bounds that are no document's length, and more padding.
-    """
-    step = F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1)) + 1)).cast("int") - bits, F.lit(0))
-    unit = F.pow(F.lit(2.0), step).cast("long")
-    return (F.ceil(length / unit) * unit).cast("long")
-
-
 def best_bounds(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most so many buckets with the least sum of count * (bound - length).
 
@@ -101,9 +90,9 @@ def pack(
     alone.  ``padding`` is bound - length.
 
     Rows of null, zero or negative length are empty: bucket, bound and batch are
-    null, padding is 0.  Rows that repeat an id are packed like any other.  A
-    column of docs that has the name of an added one is replaced.  An empty table
-    gives no rows.
+    null, padding is 0.  Rows that repeat an id are packed like any other; rows
+    without id are dealt by a hash of their other columns.  A column of docs that
+    has the name of an added one is replaced.  An empty table gives no rows.
     """
     own = docs.drop("bucket", "bound", "batch", "padding")
     length = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
@@ -114,7 +103,7 @@ def pack(
     ranges = max(1, -(-own.count() // rows_per_range))
     rows = own.withColumns({
         "bucket": F.when(length > 0, bucket).cast("int"), "bound": F.when(length > 0, bound).cast("long"),
-        "_pack_order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
+        "_pack_order": spread_order(own, id_col),
     }).withColumn("_pack_range", F.floor(
         F.conv(F.substring("_pack_order", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long")
     ).withColumn("_pack_key", F.coalesce("bucket", F.lit(-1)))
