@@ -51,9 +51,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket and batch of every copy of a document, which are dealt apart from each other."""
-    copy = F.row_number().over(Window.partitionBy("doc_id", "length").orderBy("length"))
-    sized = docs.select("doc_id", n_words("text").alias("length")).withColumn("copy", F.concat_ws(":", "doc_id", copy))
+    """Bucket and batch of every copy of a document, which are dealt apart from each other.
+
+    Documents without id are told apart by a hash of their text.
+    """
+    copy = F.row_number().over(Window.partitionBy("doc_id", "length", "text_hash").orderBy("length"))
+    owner = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_hash").cast("string")))
+    sized = docs.select("doc_id", n_words("text").alias("length"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text_hash"))
+    sized = sized.withColumn("copy", F.concat_ws(":", owner, copy))
     return length_buckets.pack(stored(sized, "lengths"), id_col="copy").select("doc_id", "length", "bucket", "bound", "batch", "padding")
 
 
