@@ -25,10 +25,10 @@ FACTORS = 8
 SAMPLE = 8000
 UPDATES = 750
 BATCH = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 THRESHOLD = 0.7
 # Byte classes: upper, lower, digit, white space, line end, bar, sentence end, other punctuation, not ASCII.
-CLASSES = np.full(256, 7)
+CLASSES = np.full(256, 7, np.uint8)
 CLASSES[65:91], CLASSES[97:123], CLASSES[48:58], CLASSES[128:] = 0, 1, 2, 8
 CLASSES[[9, 11, 12, 13, 32]], CLASSES[10], CLASSES[124] = 3, 4, 5
 CLASSES[[33, 46, 63, 44, 59, 58]] = 6
