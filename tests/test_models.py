@@ -321,3 +321,19 @@ def test_a_batch_judged_by_a_loaded_ensemble(spark, tmp_path):
         assert plain[r["uid"]]["prediction"] == r["prediction"]
         assert plain[r["uid"]]["confidence"] == pytest.approx(r["confidence"]) == pytest.approx(history[r["uid"]]["spam_confidence"])
         assert history[r["uid"]]["is_spam"] == (r["prediction"] == 1 and r["confidence"] >= SMALL.confidence_threshold)
+
+
+def test_stems_in_slices_of_bounded_size(spark, monkeypatch):
+    """Rows around a slice's end, rows longer than a slice, empty and null rows; no array becomes Python objects as a whole."""
+    import pyarrow as pa
+
+    from mailgrain.functions import stemming
+
+    monkeypatch.setattr(stemming, "SLICE_TOKENS", 4)
+    rows = [["running", "cats"], [], ["ponies"] * 9, None, ["a", "hopping", "cats"], ["über", "x"], []]
+    want = [" ".join(map(stem, r or [])) for r in rows]
+    seen = []
+    monkeypatch.setattr(stemming, "stem", lambda token: seen.append(token) or stem(token))
+    out = stemming.stem_tokens.func(iter([pa.array(rows, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))]))
+    assert [part.to_pylist() for part in out] == [want, []]
+    assert len(seen) == len(set(seen))
