@@ -337,3 +337,12 @@ def test_stems_in_slices_of_bounded_size(spark, monkeypatch):
     out = stemming.stem_tokens.func(iter([pa.array(rows, pa.list_(pa.string())), pa.array([], pa.list_(pa.string()))]))
     assert [part.to_pylist() for part in out] == [want, []]
     assert len(seen) == len(set(seen))
+
+
+def test_unknown_terms_stop_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(1, ["u", "v", "w"]), (2, ["a", "u"]), (3, []), (4, None)], "id int, terms array<string>")
+    known = spark.createDataFrame([("a", 2.0)], "term string, idf double")
+    rows = tfidf.vectors(docs, known, "id")
+    assert {r["id"]: [tuple(t) for t in r["vector"]] for r in rows.collect()} == {1: [], 2: [("a", 1.0)], 3: [], 4: []}
+    join = rows._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+    assert "Filter" in join and "isnotnull(idf" in join
