@@ -346,3 +346,43 @@ def test_unknown_terms_stop_before_the_shuffle(spark):
     assert {r["id"]: [tuple(t) for t in r["vector"]] for r in rows.collect()} == {1: [], 2: [("a", 1.0)], 3: [], 4: []}
     join = rows._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
     assert "Filter" in join and "isnotnull(idf" in join
+
+
+def test_words_counted_as_numbers(spark):
+    texts = [(d,) for d in (*DOCS, "", None, "a", "one", "one one one", "one two one two", "ünder über x ünder über")]
+    words = spark.createDataFrame(texts, "t string").select(tfidf.words(F.col("t")).alias("words")).repartition(3)
+    pairs = words.select(tfidf.with_pairs(F.col("words")).alias("terms"))
+    want = sorted(map(tuple, tfidf.term_statistics(pairs).collect()))
+    assert want and sorted(map(tuple, tfidf.word_statistics(words).collect())) == want
+    asked = lambda rows, **of: list(map(tuple, tfidf.vocabulary(rows, params=SMALL, **of).collect()))
+    assert asked(words, words_col="words") == asked(pairs)
+
+
+def test_slices_of_words_add_up(monkeypatch):
+    import pyarrow as pa
+
+    from mailgrain.functions import counting
+
+    rows = [["aa", "bb", "aa", "bb"], None, [], ["bb"], ["aa", "bb"], ["bb"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["words"])
+
+    def counts(size):
+        monkeypatch.setattr(counting, "SLICE_WORDS", size)
+        got, parts = {}, list(counting.count_words(iter([batch])))
+        for r in (r for part in parts for r in part.to_pylist()):
+            tf, df = got.get(r["term"], (0, 0))
+            got[r["term"]] = (tf + r["tf"], df + r["df"])
+        return got, len(parts)
+
+    whole, few = counts(1000)
+    assert whole == {"aa": (3, 2), "bb": (13, 4), "aa bb": (3, 2), "bb aa": (1, 1), "bb bb": (8, 1)}
+    sliced, many = counts(3)
+    assert sliced == whole and many > few
+
+
+def test_text_is_cleaned_once(spark):
+    """The cleaned text, read several times for joined forms and tokens, is one column of the plan."""
+    rows = normalise.with_tokens(spark.createDataFrame([("we cannot <b>gimme</b> 1,2 “x” cannotx",)], "text string"))
+    assert rows.collect()[0]["tokens"] == ["gim", "“", "x", "”", "cannotx"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2  # the two branches of the rule for addresses, of which a text takes one
