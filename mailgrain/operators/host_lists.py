@@ -48,19 +48,37 @@ def _target_keys(target: Column, deleted: int) -> Column:
         _keys("first", F.array(first), deleted), _keys("last", F.array(last), deleted)))
 
 
-def _host_keys(host: Column, deleted: int, gap: int) -> Column:
-    """Keys of all beginnings and ends that the parts of a near target can have become."""
-    size = F.length(host)
-    lengths = F.sequence(F.greatest(size - gap, F.lit(0)), size + gap)
+def _with_host_keys(hosts: DataFrame, deleted: int, gap: int) -> DataFrame:
+    """A row ``_host, _key`` for all beginnings and ends that the parts of a near target can have become.
 
-    def sizes(part_of):
-        near = F.flatten(F.transform(lengths, lambda n: F.transform(
-            F.sequence(F.lit(-deleted), F.lit(deleted)), lambda d: F.least(part_of(n), F.lit(PIECE)) + d)))
-        return F.array_distinct(F.filter(near, lambda k: (k >= 0) & (k <= size)))
-
-    firsts = F.transform(sizes(_cut), lambda k: F.substr(host, F.lit(1), k))
-    lasts = F.transform(sizes(lambda n: n - _cut(n)), lambda k: _ends(host, k))
-    return F.array_distinct(F.concat(_keys("first", firsts, deleted), _keys("last", lasts, deleted)))
+    The lengths of these are ranges, for a part grows by at most one character
+    with its target.  Rows of numbers are made first and each key is a plain
+    expression of one, so Spark compiles it with the join.  Keys may repeat.
+    """
+    size = F.length("_host")
+    shortest, longest = F.greatest(size - gap, F.lit(0)), size + gap
+
+    def low(part_of):
+        return F.greatest(F.least(part_of(shortest), F.lit(PIECE)) - deleted, F.lit(0))
+
+    def high(part_of):
+        return F.least(F.least(part_of(longest), F.lit(PIECE)) + deleted, size)
+
+    # Ends have numbers below 0, from -1 for the one without a character.
+    rest = lambda n: n - _cut(n)
+    numbers = F.concat(F.sequence(low(_cut), high(_cut)), F.sequence(-high(rest) - 1, -low(rest) - 1))
+    first = F.col("_number") >= 0
+    parts = hosts.select("_host", F.explode(numbers).alias("_number")).select(
+        "_host", F.when(first, "first").otherwise("last").alias("_side"),
+        F.when(first, F.substr("_host", F.lit(1), F.col("_number"))).otherwise(
+            _ends(F.col("_host"), -F.col("_number") - 1)).alias("_part"))
+    if deleted == 0:
+        return parts.select("_host", F.xxhash64("_side", "_part").alias("_key"))
+    at = F.col("_at")
+    forms = parts.select("*", F.explode(F.sequence(F.lit(0), F.length("_part"))).alias("_at"))
+    form = F.when(at == 0, F.col("_part")).otherwise(
+        F.concat(F.substr("_part", F.lit(1), at - 1), F.substr("_part", at + 1)))
+    return forms.select("_host", F.xxhash64("_side", form).alias("_key"))
 
 
 def near_hosts(
@@ -90,7 +108,7 @@ def near_hosts(
     listed = targets.where(F.col(target).isNotNull()).select(F.col(target).alias("_target")).distinct()
     found = hosts.where(F.col(host).isNotNull()).select(F.col(host).alias("_host")).distinct()
     listed = listed.select("_target", F.explode(_target_keys(F.col("_target"), deleted)).alias("_key"))
-    found = found.select("_host", F.explode(_host_keys(F.col("_host"), deleted, gap)).alias("_key"))
+    found = _with_host_keys(found, deleted, gap)
     if listed.limit(broadcast_keys + 1).count() <= broadcast_keys:
         listed = F.broadcast(listed)
     distance = F.levenshtein("_host", "_target", edits)

@@ -198,7 +198,9 @@ def typosquat(spark, folder):
 @query
 def near_hosts(spark, folder):
     """Hosts of all probed URLs that are near misses of hosts in a table: the pages' own and the popular ones."""
-    found = us.with_url_parts(v.probe_urls(spark, folder)).where(~F.col("malformed"))
+    split = us.with_url_parts(v.probe_urls(spark, folder))
+    # Not a filter: that would be pushed down and split every URL once more for each time it reads the parts.
+    found = split.select(F.explode(F.when(~F.col("malformed"), F.array("host"))).alias("host"))
     known = us.with_url_parts(v.page_urls(spark, folder)).select(F.col("host").alias("target"))
     popular = spark.createDataFrame([(p,) for p in CHECK.popular_hosts], known.schema)
     return host_lists.near_hosts(found, known.unionByName(popular))

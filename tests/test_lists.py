@@ -11,6 +11,7 @@ from mailgrain.functions import keywords as kw
 from mailgrain.functions import text as tx
 from mailgrain.operators import host_lists
 from mailgrain.operators import url_scoring as us
+from mailgrain.plans.catalogue import QUERIES
 
 
 def plan_of(rows):
@@ -60,6 +61,16 @@ def test_near_hosts_match_brute_force(spark, made_hosts, edits, gap, most):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_near_hosts_make_their_keys_in_compiled_code(spark):
+    """No key of a host is made by an interpreted lambda, and probed URLs are not split once more to drop malformed ones."""
+    hosts, targets = (spark.createDataFrame([("bit.ly",), (None,)], f"{c} string") for c in ("host", "target"))
+    lines = plan_of(host_lists.near_hosts(hosts, targets)).splitlines()
+    assert [line for line in lines if "explode" in line and "_host" in line]
+    assert not [line for line in lines if "_host" in line and "lambda" in line]
+    query = plan_of(QUERIES["near_hosts"](spark, "/root/testdata/sf0.001"))
+    assert not [line for line in query.splitlines() if "Filter" in line and "Contains(regexp_extract" in line]
+
+
 def test_near_hosts_refuse_more_edits(spark):
     rows = spark.createDataFrame([], "host string")
     with pytest.raises(ValueError):
