@@ -1,0 +1,115 @@
+"""The forest: blocks, counts of a level, best splits, and the model it becomes."""
+
+import random
+from collections import Counter
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from mailgrain import params as P
+from mailgrain.functions import histograms as hg
+from mailgrain.operators import forest
+
+COLUMNS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "said", "probabilityCol": "prob", "rawPredictionCol": "raw"}
+
+
+def _rows(n, width, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        terms = {f: rng.choice([0.25, 0.5, 1.0, rng.random()]) for f in rng.sample(range(width), rng.randrange(6))}
+        rows.append((int(rng.random() < 0.2) ^ int(3 in terms), terms))
+    return rows
+
+
+def _batch(rows, cuts, number):
+    parts = hg._block(number, np.array([y for y, _ in rows]), np.array([len(t) for _, t in rows]),
+                      np.array([f for _, t in rows for f in t], int), np.array([v for _, t in rows for v in t.values()], float), cuts)
+    names = ["block", "labels", "sizes", "features", "bins"]
+    return pa.RecordBatch.from_arrays([pa.array([parts[0]]), *(pa.array([p], pa.binary()) for p in parts[1:])], names)
+
+
+@pytest.mark.parametrize("table", [1 << 22, 0])
+def test_a_level_equals_brute_force(monkeypatch, table):
+    """Two blocks, a root that is split already and one that is not; small flushes add up."""
+    monkeypatch.setattr(hg, "TABLE_CELLS", table)
+    monkeypatch.setattr(hg, "HELD_COUNTS", 50)
+    width, chosen, seed = 12, 4, 7
+    cuts = np.full((width, 31), np.inf)
+    cuts[:, :2] = [0.2, 0.6]
+    blocks = [_rows(40, width, 1), _rows(23, width, 2)]
+    level = hg.Level(1, 2, width, chosen, seed, np.array([3, -1, -1, -1]), np.array([0, 0, 0, 0]), np.array([2, -1, -1, -1]),
+                     np.array([-1, -1, 0, 1]), np.array([0, 0]))
+    out = pa.Table.from_batches(hg.count_level(iter([_batch(b, cuts, i) for i, b in enumerate(blocks)]), level))
+    got = {r["node"]: r for r in hg.best_splits(out, width).to_pylist()}
+    drawn = hg.drawn_features(seed, 1, 2, width, chosen)
+    bin_of = lambda terms, f: sum(terms.get(f, 0.0) > c for c in cuts[f])
+    gini = lambda c: 1 - sum((c[y] / max(sum(c.values()), 1)) ** 2 for y in (0, 1))
+    for node in (0, 1):
+        held = [(y, t, w) for i, b in enumerate(blocks)
+                for (y, t), w in zip(b, np.random.default_rng([seed, i]).poisson(1.0, (len(b), 2))[:, 0])
+                if (bin_of(t, 3) > 0) == (node == 1)]
+        total = Counter({y: sum(w for z, _, w in held if z == y) for y in (0, 1)})
+        assert (got[node]["rows_0"], got[node]["rows_1"]) == (total[0], total[1])
+        best = (0.0, -1, 0)
+        for f in drawn[node]:
+            for cut in range(2):
+                right = Counter({y: sum(w for z, t, w in held if z == y and bin_of(t, f) > cut) for y in (0, 1)})
+                left = Counter({y: total[y] - right[y] for y in (0, 1)})
+                n = sum(total.values())
+                gain = gini(total) - sum(sum(s.values()) / n * gini(s) for s in (left, right))
+                if all(sum(s.values()) for s in (left, right)) and gain > best[0] + 1e-12:
+                    best = (gain, f, cut)
+        assert (got[node]["feature"], got[node]["cut"]) == best[1:] and got[node]["gain"] == pytest.approx(best[0])
+
+
+def test_every_set_of_features_is_drawn():
+    drawn = hg.drawn_features(1, 0, 6000, 5, 2)
+    seen = Counter(map(tuple, drawn.tolist()))
+    assert len(seen) == 10 and all(a < b for a, b in seen) and all(450 < n < 750 for n in seen.values())
+
+
+def test_cuts_of_a_feature():
+    assert forest.cuts_of(np.array([1.0, 2.0, 2.0]), 3, 31) == [0.5, 1.5]
+    assert forest.cuts_of(np.array([1.0, 1.0]), 0, 31) == []
+    # A quarter of the rows is 50: the zeros pass it, the first value the half, and value 50 is at three quarters.
+    assert forest.cuts_of(np.arange(1.0, 101.0), 100, 3) == [0.5, 1.5, 50.5]
+
+
+def test_a_block_keeps_only_the_terms_of_its_rows():
+    """MLlib's trainer keeps 5,000 numbers a row."""
+    cuts = np.full((5000, 31), np.inf)
+    cuts[:, 0] = 0.1
+    batch = _batch([(i % 2, {i: 0.5, 4000 + i: 0.05}) for i in range(256)], cuts, 0)
+    assert sum(len(batch.column(i)[0].as_py()) for i in range(1, 5)) == 256 * (1 + 4 + 4 + 1)
+
+
+def test_a_forest_fits_saves_and_repeats(spark, tmp_path):
+    rows = [(i, float(y), Vectors.sparse(40, sorted(t.items()))) for i, (y, t) in enumerate(_rows(700, 40, 3))]
+    data = spark.createDataFrame(rows, ["id", "label", "features"]).repartition(3, "id").cache()
+    params = replace(P.DEFAULTS, trees=12, tree_depth=6)
+    model = forest.fit(data.select("label", "features"), 700, 40, params, **COLUMNS)
+    assert model.getNumTrees == 12 and model.numFeatures == 40 and model.numClasses == 2
+    assert all(0 < t.depth <= 6 for t in model.trees) and len({t.toDebugString for t in model.trees}) == 12
+    said = {r["id"]: r["prob"] for r in model.transform(data).collect()}
+    right = sum((said[i][1] > 0.5) == (y == 1) for i, y, _ in rows)
+    assert right / len(rows) > 0.75
+    again = forest.fit(data.select("label", "features"), 700, 40, params, **COLUMNS)
+    assert again.toDebugString.split("\n", 1)[1] == model.toDebugString.split("\n", 1)[1]
+    model.write().save(str(tmp_path / "forest"))
+    loaded = type(model).load(str(tmp_path / "forest"))
+    assert {r["id"]: r["prob"] for r in loaded.transform(data).collect()} == said
+
+
+def test_a_forest_of_one_class_or_of_empty_rows(spark):
+    params = replace(P.DEFAULTS, trees=3, tree_depth=4)
+    for label in (0.0, 1.0):
+        rows = spark.createDataFrame([(label, Vectors.sparse(4, {1: 0.5})), (label, Vectors.sparse(4, {}))] * 8, ["label", "features"])
+        model = forest.fit(rows, 16, 4, params, **COLUMNS)
+        assert model.totalNumNodes == 3 and {r["said"] for r in model.transform(rows).collect()} == {label}
+    empty = spark.createDataFrame([(float(i % 2), Vectors.sparse(4, {})) for i in range(9)], ["label", "features"])
+    assert forest.fit(empty, 9, 4, params, **COLUMNS).totalNumNodes == 3
