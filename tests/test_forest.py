@@ -7,12 +7,15 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from mailgrain import params as P
 from mailgrain.functions import histograms as hg
-from mailgrain.operators import forest
+from mailgrain.operators import forest, spam_model
 
 COLUMNS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "said", "probabilityCol": "prob", "rawPredictionCol": "raw"}
 
@@ -113,3 +116,21 @@ def test_a_forest_of_one_class_or_of_empty_rows(spark):
         assert model.totalNumNodes == 3 and {r["said"] for r in model.transform(rows).collect()} == {label}
     empty = spark.createDataFrame([(float(i % 2), Vectors.sparse(4, {})) for i in range(9)], ["label", "features"])
     assert forest.fit(empty, 9, 4, params, **COLUMNS).totalNumNodes == 3
+
+
+def test_shares_equal_the_library(spark):
+    """Of a forest of MLlib's own and of ours, on sparse, dense, empty and null vectors; the model does not go with the tasks."""
+    rows = [(float(y), Vectors.sparse(40, sorted(t.items()))) for y, t in _rows(300, 40, 5)]
+    data = spark.createDataFrame(rows, ["label", "features"])
+    asked = data.select("features").unionByName(spark.createDataFrame(
+        [(Vectors.dense([0.3 * (i % 4) for i in range(40)]),), (Vectors.sparse(40, {}),)], ["features"])).repartition(3)
+    params = replace(P.DEFAULTS, trees=7, tree_depth=5)
+    own = RandomForestClassifier(numTrees=7, maxDepth=5, seed=1, **COLUMNS).fit(data)
+    for model in (own, forest.fit(data, 300, 40, params, **COLUMNS)):
+        got = model.transform(asked).select(forest.spam_share(model).alias("share"), vector_to_array("prob")[1].alias("prob")).collect()
+        assert [r["share"] for r in got] == pytest.approx([r["prob"] for r in got], abs=1e-12) and len(got) == 302
+        lost = asked.limit(1).unionByName(asked.limit(1).select(F.lit(None).cast(asked.schema[0].dataType).alias("features")))
+        assert [r[0] is None for r in lost.select(forest.spam_share(model)).collect()] == [False, True]
+    members = {"random_forest": PipelineModel([model])}
+    plan = spam_model.probabilities(asked, members, (1, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "_prob_random_forest" not in plan
