@@ -134,3 +134,18 @@ def test_shares_equal_the_library(spark):
     members = {"random_forest": PipelineModel([model])}
     plan = spam_model.probabilities(asked, members, (1, 1))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "_prob_random_forest" not in plan
+
+
+def test_small_training_partitions_are_put_together(spark, monkeypatch):
+    """A pass over the training rows starts two tasks for each core, or one for TRAINING_ROWS rows if that is more."""
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("label"), F.concat(
+        F.lit("aa bb "), F.when(F.col("id") % 3 == 0, "cc").otherwise("dd")).alias("processed_text")).repartition(50)
+    seen = []
+    fit = spam_model._fit_logistic
+    monkeypatch.setattr(spam_model, "_fit_logistic", lambda train, *a: seen.append(train.rdd.getNumPartitions()) or fit(train, *a))
+    small = replace(P.DEFAULTS, max_iter=2)
+    spam_model.fit_model(rows, "logistic_regression", small)
+    monkeypatch.setattr(spam_model, "TRAINING_ROWS", 4)
+    spam_model.fit_model(rows, "logistic_regression", small)
+    spam_model.fit_model(rows, "logistic_regression", replace(small, training_partitions=3))
+    assert seen == [2 * spark.sparkContext.defaultParallelism, 15, 3]
