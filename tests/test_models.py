@@ -386,3 +386,53 @@ def test_text_is_cleaned_once(spark):
     assert rows.collect()[0]["tokens"] == ["gim", "“", "x", "”", "cannotx"]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 2  # the two branches of the rule for addresses, of which a text takes one
+
+
+def test_vectors_of_words_equal_those_of_terms(spark, monkeypatch):
+    """Counted as numbers, in slices; null and repeated keys, null words, documents that know no term or a pair only."""
+    rows = [(1, 0, ["aa", "bb", "aa", "bb", "zz"]), (2, 1, []), (3, 0, None), (4, 0, ["zz", "yy"]), (5, 1, ["cc", "dd", "dd"]),
+            (6, 0, ["bb", "aa"]), (6, 0, ["aa", "bb"]), (None, 1, ["aa"]), (None, 1, ["bb", "aa"]), (7, None, ["ünder", "aa", "ünder"])]
+    docs = spark.createDataFrame(rows, "id int, label int, words array<string>").repartition(3)
+    known = spark.createDataFrame(
+        [("aa", 1.5), ("bb", 2.0), ("bb aa", 3.0), ("cc dd", 2.5), ("ünder", 1.25), ("ünder aa", 1.0), ("lost", 1.0), (None, 9.0)],
+        "term string, idf double")
+    terms = docs.withColumn("terms", tfidf.with_pairs(F.col("words")))
+    plain = lambda rows: sorted(((r["id"] or 0, r["label"], [(t["term"], pytest.approx(t["weight"])) for t in r["vector"]])
+                                 for r in rows.collect()), key=lambda r: r[0])
+    want = plain(tfidf.vectors(terms, known, "id", keep=("label",)))
+    assert len(want) == 8 and [len(v) for _, _, v in want] == [4, 3, 0, 0, 0, 1, 5, 3]
+    asked = lambda limit: plain(tfidf.vectors(docs, known, "id", keep=("label",), params=limit, words_col="words"))
+    assert asked(P.DEFAULTS) == want
+    assert asked(replace(P.DEFAULTS, vocabulary_size=10**6)) == want
+    from mailgrain.functions import counting
+
+    monkeypatch.setattr(counting, "SLICE_WORDS", 3)
+    assert asked(P.DEFAULTS) == want
+
+
+def test_the_length_of_a_vector_is_found_once(spark):
+    """Inside the lambda it would be summed again for every term of the document."""
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "id int, terms array<string>")
+    known = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, idf double")
+    plan = tfidf.vectors(docs, known, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "lambda" in plan
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+    """The vocabulary is that of all terms, with ties at its end, rare words and words in too many documents."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], [1 / (i + 1) for i in range(40)], k=rng.randrange(12))) + " every" for _ in range(60)]
+    texts += ["solo solo solo solo solo solo solo solo", "w1 w2", ""]
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(tfidf.words(F.col("t")).alias("words")).repartition(3)
+    pairs = words.select(tfidf.with_pairs(F.col("words")).alias("terms"))
+    asked = lambda rows, params, **of: list(map(tuple, tfidf.vocabulary(rows, params=params, **of).collect()))
+    from mailgrain.functions import counting
+
+    for size, held in ((3, 1 << 22), (12, 1 << 22), (30, 2), (10**4, 1 << 22)):
+        monkeypatch.setattr(counting, "HELD_PAIRS", held)
+        small = replace(P.DEFAULTS, vocabulary_size=size, max_df=0.9)
+        assert asked(words, small, words_col="words") == asked(pairs, small)
+    few = tfidf._frequent_statistics(words, "words", 63, replace(P.DEFAULTS, vocabulary_size=12)).collect()
+    assert 12 <= len(few) < tfidf.word_statistics(words).count() / 4
+    monkeypatch.setattr(tfidf, "SENT_TERMS", 5)
+    assert tfidf._frequent_statistics(words, "words", 63, replace(P.DEFAULTS, vocabulary_size=5)) is None
