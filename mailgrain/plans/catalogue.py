@@ -525,7 +525,7 @@ def tfidf_vectors(spark, folder):
     """The weighted, normalised terms of every stemmed document, one row each."""
     docs = _stemmed_terms(spark, folder)
     known = stored(tfidf.vocabulary(docs, "terms", CHECK, "words"), "vocabulary")
-    rows = tfidf.vectors(docs, known, "doc_id", params=CHECK)
+    rows = tfidf.vectors(docs, known, "doc_id", params=CHECK, words_col="words")
     return rows.select("doc_id", F.explode("vector").alias("t")).select(
         "doc_id", "t.term", F.round("t.weight", 9).alias("weight"))
 
@@ -535,10 +535,11 @@ def naive_bayes_scores(spark, folder):
     """Counted on the train part in two halves, which are merged; scores of every document."""
     docs = _stemmed_terms(spark, folder)
     split = labelled.stratified_split(v.labelled_texts(spark, folder).select("doc_id", "label"), "doc_id", "label", CHECK)
-    trained = docs.join(split.where("not is_test").select("doc_id", "label"), "doc_id")
-    known = stored(tfidf.vocabulary(trained, "terms", CHECK, "words"), "vocabulary")
-    vectors = stored(tfidf.vectors(docs, known, "doc_id", params=CHECK), "vectors")
-    taught = stored(vectors.join(split.where("not is_test").select("doc_id", "label"), "doc_id"), "taught")
+    labels = stored(split.where("not is_test").select("doc_id", "label"), "labels")
+    trained = stored(docs.select("doc_id", "words").join(labels, "doc_id"), "trained")
+    known = stored(tfidf.vocabulary(trained, params=CHECK, words_col="words"), "vocabulary")
+    vectors = stored(tfidf.vectors(docs, known, "doc_id", params=CHECK, words_col="words"), "vectors")
+    taught = stored(vectors.join(labels, "doc_id"), "taught")
     halves = [naive_bayes.partial_sums(taught.where(F.col("doc_id") % 2 == i)) for i in (0, 1)]
     odds = stored(naive_bayes.log_odds(stored(naive_bayes.merged(*halves), "sums"), known, CHECK.smoothing_alone), "odds")
     return naive_bayes.scores(vectors, odds, "doc_id", params=CHECK).select(
