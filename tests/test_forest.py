@@ -149,3 +149,28 @@ def test_small_training_partitions_are_put_together(spark, monkeypatch):
     spam_model.fit_model(rows, "logistic_regression", small)
     spam_model.fit_model(rows, "logistic_regression", replace(small, training_partitions=3))
     assert seen == [2 * spark.sparkContext.defaultParallelism, 15, 3]
+
+
+def test_the_driver_makes_no_objects_of_the_nodes(spark, tmp_path, monkeypatch):
+    """Fitting, scoring, saving and loading leave the nodes in files; parts and groups of trees give the same model and shares."""
+    rows = [(float(y), Vectors.sparse(40, sorted(t.items()))) for y, t in _rows(300, 40, 5)]
+    data = spark.createDataFrame(rows, ["label", "features"])
+    params = replace(P.DEFAULTS, trees=7, tree_depth=5)
+    shares = lambda m: [r[0] for r in data.select(forest.spam_share(m)).collect()]
+    whole = forest.fit(data, 300, 40, params, **COLUMNS)
+    want = shares(whole)
+    assert len(whole._sent_nodes) == 1
+    monkeypatch.setattr(forest, "WRITTEN_NODES", 10)
+    monkeypatch.setattr(forest, "SENT_NODES", 40)
+    model = forest.fit(data, 300, 40, params, **COLUMNS)
+    got = shares(model)
+    assert len(model._sent_nodes) > 1 and got == pytest.approx(want, abs=1e-12)
+    assert sum(len(g.value["left"]) for g in model._sent_nodes) == sum(len(g.value["left"]) for g in whole._sent_nodes)
+    forest.save(PipelineModel([model]), str(tmp_path / "saved"))
+    loaded = forest.load(str(tmp_path / "saved")).stages[0]
+    assert shares(loaded) == got
+    assert all(m._made is None and m._read is None for m in (whole, model, loaded))
+    again = PipelineModel.load(str(tmp_path / "saved")).stages[0]
+    assert again.toDebugString == loaded.toDebugString and loaded.getProbabilityCol() == again.getProbabilityCol() == "prob"
+    assert again.toDebugString.split("\n", 1)[1] == whole.toDebugString.split("\n", 1)[1]
+    assert (loaded.uid, loaded.numFeatures, loaded.getNumTrees) == (again.uid, 40, 7)
