@@ -436,3 +436,13 @@ def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
     assert 12 <= len(few) < tfidf.word_statistics(words).count() / 4
     monkeypatch.setattr(tfidf, "SENT_TERMS", 5)
     assert tfidf._frequent_statistics(words, "words", 63, replace(P.DEFAULTS, vocabulary_size=5)) is None
+
+
+def test_an_ensemble_leaves_its_forest_in_files(spark, tmp_path):
+    """Training, evaluating, saving, loading and judging make no objects of the forest's nodes in the driver."""
+    small = replace(SMALL, trees=3, tree_depth=2, max_iter=3)
+    model, _ = train.train_and_evaluate(_corpus(spark), "id", "ensemble", small, str(tmp_path / "model"))
+    loaded = spam_model.load(str(tmp_path / "model"))
+    assert spam_model.predict(_corpus(spark).select("id", "text").limit(5), loaded, "text", small).count() == 5
+    forests = [group["random_forest"].stages[0] for m in (model, loaded) for group in (m.main, m.weighted)]
+    assert all(f._made is None and f._read is None for f in forests)
